@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainsift.functions.ship import ship
+
 BROADCAST_BYTES = 48 << 20
 """A side is broadcast only while rows x row width stays below this."""
 
@@ -23,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Rows are whole documents, so Arrow batches stay short; a checkpoint folder
     is set only where the cluster names none (as in tests)."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -42,9 +45,26 @@ def small(df: DataFrame, rows: int, width: int, limit: int = BROADCAST_BYTES) ->
     return F.broadcast(df) if rows * width <= limit else df
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns c0, c1, ... and where each exact name went, so that
+    neither extra columns nor names that differ in case only can clash.
+    ``.toDF(*df.columns)`` undoes it."""
+    inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return inner, {n: f"c{i}" for i, n in reversed(list(enumerate(df.columns)))}
+
+
 def keep_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra ones, whatever their names, can't clash."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    inner, at = renamed(df)
+    return inner.select(*[F.col(at[n]).alias(n) for n in names])
+
+
+TOKEN = r"[^ \t\r\n]+"
+
+
+def token_count(text: Column) -> Column:
+    """Words between spaces, tabs and line ends; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
 # --- word kernel -----------------------------------------------------------
