@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainsift.llm import simhash_trie
+from grainsift.llm import lines, mixing, packing, redirects, simhash_trie, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_derivatives": warc.op1_warc_derivatives,
+        "op3_url_redirects": redirects.op3_url_redirects,
         "op5_simhash_near_dedup": simhash_trie.op5_simhash_near_dedup,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op9_line_rules": lines.op9_line_rules,
+        "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc_derivatives": warc.SQL,
+        "op3_url_redirects": redirects.SQL,
+        "op9_line_rules": lines.SQL,
+        "op10_mix_sources": mixing.SQL,
+    }
