@@ -14,7 +14,7 @@ MAX_CAPITALS = 0.5
 
 # Patterns that Java and RE2 read alike; lines are trimmed before.
 TRIM = r"^[ \t\r]+|[ \t\r]+$"
-PUNCTUATION = r"[.!?…:;\"'”’»)\]。！？]$"
+PUNCTUATION = r"[.!?…][\"'”’)]? |[.!?…:;\"'”’»)\]。！？]$"
 NAVIGATION = (
     r"(?i)^(home|menu|search|next|previous|back|back to top|top|log ?in|log ?out|sign (in|up)|register|read more|more|share|tweet|print|"
     r"contact( us)?|about( us)?|help|faq|sitemap|skip to (main )?content|click here|toggle navigation)[.!:]?$|^[*•·–>»-] ?[^ ]+( [^ ]+){0,2}$|([|»›·•>].*){3}"
@@ -43,7 +43,7 @@ def clean_lines(docs: DataFrame, min_kept: float = MIN_KEPT, report: bool = Fals
     """The documents that keep at least ``min_kept`` of their characters, with the
     lines that pass, in order, as ``text`` and all other columns as they were.
 
-    A line fails if it doesn't end in punctuation, is a navigation entry or a row of
+    A line fails if it neither ends in punctuation nor holds the end of a sentence, is a navigation entry or a row of
     separators, holds a boilerplate phrase, or is more than a tenth symbols or half
     capitals. Lines are trimmed; blank ones are dropped and count for nothing, so a
     text that is null, empty or blank has nothing left and goes. Rows are judged on
