@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainsift.llm import automaton, lines, mixing, packing, redirects, simhash_trie, warc
+from grainsift.llm import automaton, kneser_ney, lines, mixing, packing, redirects, simhash_trie, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_derivatives": warc.op1_warc_derivatives,
         "op3_url_redirects": redirects.op3_url_redirects,
+        "op4_quality_classifier": kneser_ney.op4_quality_classifier,
         "op5_simhash_near_dedup": simhash_trie.op5_simhash_near_dedup,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_substring_dedup": automaton.op8_substring_dedup,

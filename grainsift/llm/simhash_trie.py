@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainsift.llm._common import Words, cut, keep_columns, mix, pieces, prepare, small, table, utf8
+from grainsift.llm._common import Words, cut, keep_columns, mix, pieces, prepare, renamed, small, table, utf8
 from grainsift.llm.components import connected_components
 
 MAX_BITS = 10
@@ -21,6 +21,7 @@ BUCKET_ROWS = 50_000
 _QUARTERS = 4
 _LEAF = 24
 _CHUNK = 1 << 20
+WORD = r"[0-9A-Za-z[^\x00-\x7f]]"
 
 
 # --- fingerprints ----------------------------------------------------------
@@ -280,18 +281,20 @@ def drop_near_copies(docs: DataFrame, bits: int = MAX_BITS, pair_bits: int = MAX
     all its columns; of repeated rows of a doc_id the one with the least text
     stays. Rows without id, and texts that are null or hold no word, stay."""
     prints, groups = _resolve(docs, bits, pair_bits)
-    gone = cut(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")))
+    gone = cut(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("gone")))
     gone = small(gone, gone.count(), 16)
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    repeated = cut(prints.groupBy(F.col("doc_id").alias("__again")).agg(F.sum("copies").alias("n")).where("n > 1").select("__again"))
+    inner, at = renamed(docs)
+    ident, text = F.col(at["doc_id"]).cast("long"), F.col(at["text"])
+    kept = inner.join(gone, ident == F.col("gone"), "left_anti")
+    repeated = cut(prints.groupBy(F.col("doc_id").alias("again")).agg(F.sum("copies").alias("n")).where("n > 1").select("again"))
     n = repeated.count()
     if not n:
-        return kept
+        return kept.toDF(*docs.columns)
     repeated = small(repeated, n, 16)
-    again = (kept["doc_id"] == repeated["__again"]) & kept["text"].isNotNull()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    one = kept.join(repeated, again, "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
-    return kept.join(repeated, again, "left_anti").unionByName(one)
+    wordy = text.isNotNull() & text.rlike(WORD)
+    order = Window.partitionBy(ident).orderBy(text, *[c for c in inner.columns if c not in (at["doc_id"], at["text"])])
+    one = kept.join(repeated, (ident == F.col("again")) & wordy, "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    return kept.join(repeated, (ident == F.col("again")) & wordy, "left_anti").unionByName(one).toDF(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
