@@ -1,5 +1,57 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: documents to packed training sequences."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grainsift.llm._common import prepare, renamed, table
+from grainsift.llm.automaton import remove_shared
+from grainsift.llm.kneser_ney import drop_low_quality
+from grainsift.llm.mixing import mix_sources
+from grainsift.llm.packing import pack
+from grainsift.llm.simhash_trie import drop_near_copies
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier rejects go."""
+    return drop_low_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return drop_near_copies(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words shared with an earlier document go; ``n_chars`` follows the text."""
+    inner, at = renamed(remove_shared(docs))
+    return inner.withColumn(at["n_chars"], F.length(at["text"]).cast("long")).toDF(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks, each at least once."""
+    return mix_sources(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in bins."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("substrings", substrings), ("mixture", mixture), ("packing", packing)]
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Between stages a table is written to the shared
+    folder, so that lineage is cut and the next one reads just the columns it needs."""
+    prepare(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
