@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainsift.llm import automaton, kneser_ney, lines, mixing, packing, redirects, simhash_trie, warc
+from grainsift.llm import automaton, kneser_ney, lines, mixing, packing, redirects, simhash_trie, warc, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_redirects": redirects.op3_url_redirects,
         "op4_quality_classifier": kneser_ney.op4_quality_classifier,
         "op5_simhash_near_dedup": simhash_trie.op5_simhash_near_dedup,
+        "op6_webp_pixels": webp.op6_webp_pixels,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_substring_dedup": automaton.op8_substring_dedup,
         "op9_line_rules": lines.op9_line_rules,
