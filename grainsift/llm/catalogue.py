@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainsift.llm import automaton, kneser_ney, lines, mixing, packing, redirects, simhash_trie, warc, webp
+from grainsift.llm import automaton, kneser_ney, licenses, lines, mixing, packing, redirects, simhash_trie, warc, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_derivatives": warc.op1_warc_derivatives,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_url_redirects": redirects.op3_url_redirects,
         "op4_quality_classifier": kneser_ney.op4_quality_classifier,
         "op5_simhash_near_dedup": simhash_trie.op5_simhash_near_dedup,
