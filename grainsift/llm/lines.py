@@ -54,15 +54,18 @@ def clean_lines(docs: DataFrame, min_kept: float = MIN_KEPT, report: bool = Fals
     inner, at = renamed(docs)
     text = F.col(at["text"])
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, TRIM, "")), lambda x: x != "")
-    staged = inner.withColumn("__lines", lines).withColumn("__kept", F.filter("__lines", line_passes))
-    joined = F.array_join("__kept", "\n")
-    # line ends count on neither side
-    left = F.length(joined) - F.greatest(F.size("__kept") - 1, F.lit(0))
-    whole = F.length(F.array_join("__lines", "\n")) - F.greatest(F.size("__lines") - 1, F.lit(0))
-    staged = staged.where((F.size("__kept") > 0) & (left >= F.lit(min_kept) * whole))
-    out = [joined.alias(c) if c == at["text"] else F.col(c) for c in inner.columns]
+    # bound once, in an array of one; the generator keeps the filter below from being pushed down and the rules from running twice
+    judged = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.filter(x, line_passes).alias("kept")))
+    staged = inner.where(text.isNotNull()).select("*", F.explode(judged).alias("__judged"))
+    lines, kept = F.col("__judged.lines"), F.col("__judged.kept")
+
+    def size(x: Column) -> Column:  # without line ends
+        return F.aggregate(x, F.lit(0), lambda n, line: n + F.length(line))
+
+    staged = staged.where((F.size(kept) > 0) & (size(kept) >= F.lit(min_kept) * size(lines)))
+    out = [F.array_join(kept, "\n").alias(c) if c == at["text"] else F.col(c) for c in inner.columns]
     if report:
-        out += [F.size("__lines").cast("long").alias("__n"), (F.size("__lines") - F.size("__kept")).cast("long").alias("__r")]
+        out += [F.size(lines).cast("long").alias("__n"), (F.size(lines) - F.size(kept)).cast("long").alias("__r")]
     return staged.select(*out).toDF(*docs.columns, *(["lines", "lines_removed"] if report else []))
 
 
