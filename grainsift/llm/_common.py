@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainsift.functions.kernels import BASE, BASE_INVERSE, mix, power, span_hashes
 from grainsift.functions.ship import ship
 
 BROADCAST_BYTES = 48 << 20
@@ -76,47 +74,6 @@ for _b in range(256):
     elif 65 <= _b <= 90:
         _FOLD[_b] = _b + 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 21)
-        with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]))
-        _powers[name] = have
-    return have[:n]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64)."""
-    with np.errstate(over="ignore"):
-        h = h ^ (h >> np.uint64(30))
-        h = h * np.uint64(0xBF58476D1CE4E5B9)
-        h = h ^ (h >> np.uint64(27))
-        h = h * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
-
-
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The column's bytes, and n + 1 offsets into them. Null is as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    if column.null_count:
-        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
-    if n == 0:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return raw, at - at[0]
-
-
 class Words:
     """The words of a batch of texts.
 
@@ -144,11 +101,7 @@ class Words:
         if len(both):
             self.starts = np.sort(np.concatenate([self.starts, both]))
             self.ends = np.sort(np.concatenate([self.ends, both]))
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _power("inv", _BASE_INV, n), out=sums[1:])
-            h = (sums[self.ends] - sums[self.starts]) * _power("pow", _BASE, n + 1)[self.starts]
-        self.hashes = mix(h)
+        self.hashes = span_hashes(folded, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, offsets)
 
     def owner(self) -> np.ndarray:
@@ -156,15 +109,6 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
 
-def pieces(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most ``limit`` bytes together (one text at least)."""
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
-
-
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every ``k`` consecutive entries (length ``len(h) - k + 1``)."""
     n = len(h) - k + 1
@@ -172,8 +116,8 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * _power("inv", _BASE_INV, len(h)), out=sums[1:])
-        return mix((sums[k:] - sums[:-k]) * _power("pow", _BASE, len(h) + 1)[:n])
+        np.cumsum(h * power("inv", BASE_INVERSE, len(h)), out=sums[1:])
+        return mix((sums[k:] - sums[:-k]) * power("pow", BASE, len(h) + 1)[:n])
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:

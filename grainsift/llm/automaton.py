@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsift.llm._common import Words, keep_columns, pieces, prepare, renamed, rolling, sliding_min, table, utf8
+from grainsift.functions.kernels import pieces, utf8
+from grainsift.llm._common import Words, keep_columns, prepare, renamed, rolling, sliding_min, table
 
 MIN_WORDS = 50
 """Shared spans of at least so many words go."""

@@ -13,7 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsift.llm._common import _BASE, _BASE_INV, _power, cut, keep_columns, mix, pieces, prepare, renamed, small, table, utf8
+from grainsift.functions.kernels import pieces, span_hashes, utf8
+from grainsift.llm._common import cut, keep_columns, prepare, renamed, small, table
 
 BITS = 20
 """Words are hashed into 2**BITS classes, at every size of corpus."""
@@ -48,10 +49,7 @@ def tokenize(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ends = np.r_[starts[1:], n]
     real = kinds[starts] > 0
     starts, ends = starts[real], ends[real]
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power("inv", _BASE_INV, n), out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * _power("pow", _BASE, n + 1)[starts])
+    h = span_hashes(raw, starts, ends)
     ids = h >> np.uint64(64 - BITS)
     ids[ids == END] = 1
     first = np.searchsorted(starts, offsets)

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsift.llm._common import Words, keep_columns, mix, pieces, prepare, rolling, sliding_min, table, utf8
+from grainsift.functions.kernels import mix, pieces, utf8
+from grainsift.llm._common import Words, keep_columns, prepare, rolling, sliding_min, table
 
 SHINGLE = 3
 ROWS = 2

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainsift.llm._common import Words, cut, keep_columns, mix, pieces, prepare, renamed, small, table, utf8
+from grainsift.functions.kernels import mix, pieces, utf8
+from grainsift.llm._common import Words, cut, keep_columns, prepare, renamed, small, table
 from grainsift.llm.components import connected_components
 
 MAX_BITS = 10
