@@ -26,7 +26,7 @@ PRIOR_TOKENS = 30
 """A text's mean is taken with so many further tokens at its language's mean."""
 LEAST_CALIBRATION = 50
 """Languages with fewer such texts use the quantile of all languages."""
-SHARD_DOCS = 16_384
+SHARD_DOCS = 8_192
 BLOCK_TOKENS = 500_000
 BLOCK_DOCS = 60_000
 
@@ -61,7 +61,7 @@ class Grid:
     neither a frequent v nor a frequent w fills a shard. A key holds the shard on top."""
 
     def __init__(self, docs: int):
-        bits = min(2 * BITS, max(4, math.ceil(math.log2(max(1, docs) / SHARD_DOCS))))
+        bits = min(2 * BITS, max(3, math.ceil(math.log2(max(1, docs) / SHARD_DOCS))))
         self.a, self.b = (bits + 1) // 2, bits // 2
         self.low = 2 * BITS - bits
 
