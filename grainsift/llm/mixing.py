@@ -41,6 +41,11 @@ def _budget(tokens: list[int], weights: list[float], budget: int | None) -> floa
     return float(budget) if budget is not None else max(t / w for t, w in zip(tokens, weights, strict=True) if t)
 
 
+def part(weight: float, budget: int) -> int:
+    """Whole tokens of a weight, not one less for the rounding of floats."""
+    return math.floor(weight * budget * (1 + 1e-12) + 1e-6)
+
+
 def solve(tokens: list[int], entropy_share: float | None = ENTROPY_SHARE, max_epochs: float | None = MAX_EPOCHS, budget: int | None = None) -> Weights:
     """Bisects the exponent in [0, 1]: the largest whose mixture reaches the entropy
     target, raised as far as the repetition limit asks. At 1 weights are the sources'
@@ -72,7 +77,7 @@ def solve(tokens: list[int], entropy_share: float | None = ENTROPY_SHARE, max_ep
             low, high = (low, mid) if within(mid) else (mid, high)
         exponent = high
     weights = _mixture(tokens, exponent)
-    return Weights(exponent, weights, math.floor(_budget(tokens, weights, budget) + 0.5))
+    return Weights(exponent, weights, math.ceil(_budget(tokens, weights, budget) * (1 - 1e-12) - 1e-6))
 
 
 def mix_sources(
@@ -102,15 +107,15 @@ def mix_sources(
     def key(epoch: F.Column | int) -> F.Column:
         return F.md5(F.concat_ws(":", ident, F.lit(epoch).cast("string") if isinstance(epoch, int) else epoch.cast("string"), F.lit(str(seed))))
 
-    # part epochs have the number -1 here, so their blocks need no second scan
-    part = key(-1)
-    blocks = inner.groupBy(source.alias("s"), F.substring(part, 1, _BLOCK_DIGITS).alias("b")).agg(F.sum(tokens).alias("t"))
+    # the part epoch has the number -1 here, so its blocks need no second scan
+    in_part = key(-1)
+    blocks = inner.groupBy(source.alias("s"), F.substring(in_part, 1, _BLOCK_DIGITS).alias("b")).agg(F.sum(tokens).alias("t"))
     running = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = blocks.groupBy("s").agg(F.sum("t").alias("total")).orderBy("s").collect()
     found = solve([r["total"] for r in totals], entropy_share, max_epochs, budget)
     rows = []
     for r, w in zip(totals, found.weights, strict=True):
-        share = math.floor(w * found.budget + 1e-6)
+        share = part(w, found.budget)
         epochs, rest = divmod(share, r["total"]) if r["total"] else (1, 0)
         rows.append((r["s"], epochs, rest))
     spark = docs.sparkSession
@@ -120,7 +125,7 @@ def mix_sources(
     ends = ends.where("before <= rest and rest < before + t").select(F.col("s").alias("es"), F.col("b").alias("eb"), (F.col("rest") - F.col("before")).alias("room")).collect()
     end_rows = [tuple(r) for r in ends]
     limit = small(spark.createDataFrame(end_rows, "es string, eb string, room long"), len(end_rows), 64)
-    inside = inner.select(source.alias("s"), part.alias("k"), tokens.alias("t")).join(limit, F.col("s").eqNullSafe(F.col("es")) & (F.substring("k", 1, _BLOCK_DIGITS) == F.col("eb")))
+    inside = inner.select(source.alias("s"), in_part.alias("k"), tokens.alias("t")).join(limit, F.col("s").eqNullSafe(F.col("es")) & (F.substring("k", 1, _BLOCK_DIGITS) == F.col("eb")))
     total = F.sum("t").over(Window.partitionBy("s").orderBy("k").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     last = inside.withColumn("sum", total).where("sum <= room").groupBy("s").agg(F.max("k").alias("k")).collect()
     last_key = {r["s"]: r["k"] for r in last}
@@ -129,7 +134,7 @@ def mix_sources(
     cuts = [(s, epochs, last_key.get(s) or end_block.get(s) or ("g" if rest else "")) for s, epochs, rest in rows]
     cut_rows = small(spark.createDataFrame(cuts, "ms string, epochs long, upto string"), len(cuts), 96)
     drawn = inner.join(cut_rows, source.eqNullSafe(F.col("ms")))
-    drawn = drawn.withColumn("n", F.col("epochs") + F.when(part <= F.col("upto"), 1).otherwise(0)).where("n > 0")
+    drawn = drawn.withColumn("n", F.col("epochs") + F.when(in_part <= F.col("upto"), 1).otherwise(0)).where("n > 0")
     drawn = drawn.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     out = drawn.select(*inner.columns, "epoch", key(F.when(F.col("epoch") < F.col("epochs"), F.col("epoch")).otherwise(F.lit(-1))).alias("perm_key"))
     return out.toDF(*docs.columns, "epoch", "perm_key") if report else out.select(*inner.columns).toDF(*docs.columns)
@@ -172,9 +177,9 @@ chosen AS (
 weights AS (
   SELECT source, total, pow(total / list_sum(n), a) / list_sum(list_transform(p, lambda y: pow(y, a))) AS w
   FROM totals, facts, chosen WHERE total > 0),
-budget AS (SELECT floor(max(total / w) + 0.5) AS b FROM weights),
+budget AS (SELECT ceil(max(total / w) * (1 - 1e-12) - 1e-6) AS b FROM weights),
 plan AS (
-  SELECT source, floor(w * b + 1e-6)::BIGINT // total AS epochs, floor(w * b + 1e-6)::BIGINT % total AS rest FROM weights, budget
+  SELECT source, floor(w * b * (1 + 1e-12) + 1e-6)::BIGINT // total AS epochs, floor(w * b * (1 + 1e-12) + 1e-6)::BIGINT % total AS rest FROM weights, budget
   UNION ALL SELECT source, 1, 0 FROM totals WHERE total = 0),
 summed AS (SELECT doc_id, source, k, sum(t) OVER (PARTITION BY source ORDER BY k RANGE UNBOUNDED PRECEDING) AS sum FROM tokens)
 SELECT doc_id, s.source, e AS epoch, CASE WHEN e < epochs THEN md5(coalesce(doc_id::VARCHAR, 'null') || ':' || e || ':17') ELSE k END AS perm_key
