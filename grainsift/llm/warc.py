@@ -127,7 +127,7 @@ def _base32(hexed: Column) -> Column:
 
 def _urn(text: Column) -> Column:
     h = F.md5(text)
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+    return F.when(text.isNotNull(), F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">")))
 
 
 def derive(responses: DataFrame) -> DataFrame:
