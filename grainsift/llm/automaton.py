@@ -307,7 +307,7 @@ def remove_reference(docs: DataFrame, reference: DataFrame, span: int = MIN_WORD
         shards[-1].add(ids)
         size += len(ids)
     sent = docs.sparkSession.sparkContext.broadcast([(a.next, a.link, a.length) for a in shards])
-    place = inner.columns.index(at["text"])
+    place, names = inner.columns.index(at["text"]), inner.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = []
@@ -330,7 +330,7 @@ def remove_reference(docs: DataFrame, reference: DataFrame, span: int = MIN_WORD
                 out.append(text)
             columns = list(batch.columns)
             columns[place] = pa.array(out, pa.string())
-            yield pa.record_batch(columns, inner.columns)
+            yield pa.record_batch(columns, names)
 
     return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
 
