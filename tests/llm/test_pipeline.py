@@ -1,0 +1,89 @@
+import shutil
+from collections import Counter
+
+import pytest
+from fixtures import awkward
+
+import corpus_pipeline as P
+from grainsift.llm import automaton, kneser_ney, mixing, packing, simhash_trie
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir, tmp_path_factory):
+    """What each stage got and made."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in P.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(str(folder / name))
+        made = spark.read.parquet(str(folder / name))
+        out.append((docs, made))
+        docs = made
+    return out
+
+
+def test_order_and_columns(stages):
+    assert [n for n, _ in P.STAGES] == ["quality", "near_copies", "substrings", "mixture", "packing"]
+    assert all(made.columns == COLUMNS for _, made in stages[:-1])
+
+
+def test_quality_keeps_what_the_classifier_keeps(spark, sf_dir, stages):
+    docs, made = stages[0]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    want = {r["doc_id"] for r in kneser_ney.judge(docs, labels).where("keep").collect()}
+    assert {r["doc_id"] for r in made.collect()} == want
+    good = {r["doc_id"] for r in labels.where("quality = 1 and toxic = 0").collect()}
+    assert len(good & want) >= 0.98 * len(good)
+
+
+def test_one_of_each_group(stages):
+    docs, made = stages[1]
+    groups = {r["doc_id"]: r["group_id"] for r in simhash_trie.near_groups(docs).collect()}
+    assert {r["doc_id"] for r in made.collect()} == {r["doc_id"] for r in docs.collect() if groups.get(r["doc_id"], r["doc_id"]) == r["doc_id"]}
+
+
+def test_shared_words_go(stages):
+    from test_automaton import brute
+
+    docs, made = stages[2]
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], automaton.MIN_WORDS)
+    assert {r["doc_id"]: r["text"] for r in made.collect()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in made.collect())
+
+
+def test_mixture(stages):
+    from test_mixing import brute
+
+    docs, made = stages[3]
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    assert Counter(r["doc_id"] for r in made.collect()) == brute(rows, None, mixing.ENTROPY_SHARE, mixing.MAX_EPOCHS)
+
+
+def test_packing(stages):
+    docs, made = stages[4]
+    limits = packing.Capacity()
+    tokens = Counter()
+    for r in made.collect():
+        tokens[r["doc_id"]] += r["tokens"]
+    want = Counter()
+    for r in docs.collect():
+        want[r["doc_id"]] += len(r["text"].split())
+    assert tokens == want
+    bins = made.where("bin_id is not null").groupBy("bin_id").agg({"tokens": "sum", "doc_id": "count"}).collect()
+    assert all(r["sum(tokens)"] <= limits.tokens and r["count(doc_id)"] <= limits.docs for r in bins)
+
+
+def test_run_is_its_stages(spark, sf_dir, stages):
+    assert sorted(map(str, P.run(spark, sf_dir).collect())) == sorted(map(str, stages[-1][1].collect()))
+
+
+def test_awkward_documents(spark, sf_dir, tmp_path):
+    awkward(spark).select(*COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    source = f"{sf_dir}/labels.parquet"
+    try:
+        shutil.copytree(source, tmp_path / "labels.parquet")
+    except NotADirectoryError:
+        shutil.copy(source, tmp_path / "labels.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+    assert got and {r["doc_id"] for r in got} >= {2, 3}
