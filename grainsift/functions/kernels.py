@@ -16,7 +16,7 @@ def power(name: str, base: np.uint64, n: int) -> np.ndarray:
     """The first ``n`` powers of a base, kept by name."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n, (1 << 20) + 4096)
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]))
         _powers[name] = have
@@ -58,7 +58,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most ``limit`` bytes together (one text at least)."""
     i, n = 0, len(offsets) - 1
     while i < n:
