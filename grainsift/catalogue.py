@@ -183,7 +183,7 @@ def highlight_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
-    return docs, P.postings(pairs(docs), 10_000)
+    return docs, P.text_postings(docs, 10_000)
 
 
 def _tiles_sql(pattern: str) -> str:
@@ -335,7 +335,7 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
-    lists = _bench_pairs(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_set("hash")).alias("a"))
+    lists = _bench_pairs(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_set("hash")).alias("a"))
     other = lists.select((F.col("doc_id") - 1).alias("before"), F.col("a").alias("b"))
     return lists.join(other, F.col("doc_id") == F.col("before")).select("doc_id", "a", "b")
 
@@ -415,12 +415,12 @@ def coalesce_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sizes = F.array_sort(F.array_distinct(F.transform(F.split("text", "\n", -1), lambda x: F.length(x).cast("long"))))
+    sizes = F.sort_array(F.array_distinct(F.transform(F.split("text", "\n", -1), lambda x: F.length(x).cast("long"))))
     docs = table(spark, d, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), sizes.alias("h"), (F.col("doc_id") % 7).alias("k"))
     gone = F.col("k") == 1
     state = docs.where("k <> 0").select("doc_id", "path", F.lit(1).cast("long").alias("mtime"), F.lit(1).cast("long").alias("size"), F.when(gone, F.array().cast("array<long>")).otherwise(F.col("h")).alias("hashes"), gone.alias("tombstone"))
     changes = docs.where("k <> 6").select("path", F.when(F.col("k").isin(2, 3), "delete").otherwise("upsert").alias("action"))
-    shifted = F.array_sort(F.array_distinct(F.concat(F.transform("h", lambda x: x + (x % 2)), F.array(F.lit(7).cast("long")))))
+    shifted = F.sort_array(F.array_distinct(F.concat(F.transform("h", lambda x: x + (x % 2)), F.array(F.lit(7).cast("long")))))
     stamp = F.when(F.col("k") == 4, 1).otherwise(2).cast("long")
     contents = docs.where("k in (0, 1, 4, 5)").select("path", stamp.alias("mtime"), F.lit(1).cast("long").alias("size"), shifted.alias("hashes"))
     return state, changes, contents

@@ -171,3 +171,33 @@ def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fnv:
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # rows are whole texts
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).where(F.col(text_col).isNotNull())
     return source.mapInArrow(_kernel(fnv, False, False), "doc_id long, hash long")
+
+
+def partial_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 1 << 62) -> DataFrame:
+    """``(hash, shard_id, doc_ids)``: posting lists of a batch of texts each, grouped
+    in the kernel, so that fewer and shorter rows are shuffled than pairs."""
+    ship(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for i, j in pieces(offsets):
+                own, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                starts, ends = spans(own, at, MAX_BYTES)
+                h = span_hashes(own, starts, ends).view(np.int64)
+                doc = ids[i:j][np.searchsorted(at, starts, "right") - 1]
+                shard = doc // docs_per_shard
+                order = np.lexsort((doc, h, shard))
+                h, doc, shard = h[order], doc[order], shard[order]
+                group = np.ones(len(h), bool)
+                group[1:] = (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])
+                fresh = group.copy()
+                fresh[1:] |= doc[1:] != doc[:-1]
+                begin = np.flatnonzero(group[fresh])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, fresh.sum()], pa.int32()), pa.array(doc[fresh]))
+                yield pa.record_batch([pa.array(h[group]), pa.array(shard[group]), lists], ["hash", "shard_id", "doc_ids"])
+
+    source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    return source.mapInArrow(run, "hash long, shard_id long, doc_ids array<long>")

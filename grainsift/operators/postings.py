@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainsift.functions.ngrams import partial_postings
 from grainsift.plans.regex import Plan
 
 PLAN_BYTES = 8 << 20
+RANGE_BITS = 12
 
 
 def postings(pairs: DataFrame, docs_per_shard: int | None = None) -> DataFrame:
@@ -18,7 +20,19 @@ def postings(pairs: DataFrame, docs_per_shard: int | None = None) -> DataFrame:
     if docs_per_shard:
         pairs = pairs.withColumn("shard_id", F.floor(F.col("doc_id") / docs_per_shard))
         keys.append("shard_id")
-    return pairs.groupBy(*keys).agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+    return pairs.groupBy(*keys).agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+
+
+def text_postings(docs: DataFrame, docs_per_shard: int, text_col: str = "text") -> DataFrame:
+    """``(hash, shard_id, doc_ids)`` of texts: lists are grouped batch by batch before
+    the one shuffle and joined after it. Rows come sorted by hash within ranges of
+    hashes (their high bits, which are uniform, so no sampling is needed)."""
+    parts = partial_postings(docs, "doc_id", text_col, docs_per_shard).withColumn("range", F.shiftright("hash", 64 - RANGE_BITS))
+    joined = F.flatten(F.collect_list("doc_ids"))
+    lists = parts.repartition("range").groupBy("range", "hash", "shard_id").agg(joined.alias("ids"))
+    # one text's repeats are gone; rows of one id may still repeat
+    ids = F.when(F.size("ids") == 1, F.col("ids")).otherwise(F.sort_array(F.array_distinct("ids")))
+    return lists.sortWithinPartitions("hash", "shard_id").select("hash", "shard_id", ids.alias("doc_ids"))
 
 
 def document_frequency(pairs: DataFrame) -> DataFrame:
@@ -95,7 +109,7 @@ def forward_predicate(hashes: Column, plan: Plan) -> Column:
 
 def array_difference(old: Column, new: Column) -> Column:
     """``struct(removed, added)``, both ascending."""
-    return F.struct(F.array_sort(F.array_except(old, new)).alias("removed"), F.array_sort(F.array_except(new, old)).alias("added"))
+    return F.struct(F.sort_array(F.array_except(old, new)).alias("removed"), F.sort_array(F.array_except(new, old)).alias("added"))
 
 
 def shard_plan(sizes: DataFrame, target: int) -> DataFrame:

@@ -10,8 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsift.functions.ngrams import fnv1a64_hex, pairs
-from grainsift.operators.postings import postings
+from grainsift.functions.ngrams import fnv1a64_hex
+from grainsift.operators.postings import text_postings
 
 FORMAT_VERSION = 1
 DOCS_PER_SHARD = 100_000
@@ -93,8 +93,8 @@ def current_version(spark: SparkSession, path: str) -> int | None:
 def write_index(docs: DataFrame, path: str, text_col: str = "content", docs_per_shard: int = DOCS_PER_SHARD, extra: dict | None = None) -> int:
     """Writes a new version and makes it current; returns its number.
 
-    Lists are range-partitioned and sorted by hash, so that a query's hashes prune
-    files and row groups, and hold one range of documents each.
+    Lists are sorted by hash within each file, so that a query's hashes prune row
+    groups, and hold one range of documents each.
     """
     spark = docs.sparkSession
     files = Files(spark)
@@ -102,8 +102,8 @@ def write_index(docs: DataFrame, path: str, text_col: str = "content", docs_per_
     target = f"{path}/v={version}"
     files.remove(target)  # what a failed attempt left
     docs.drop(text_col).write.parquet(f"{target}/docs")
-    lists = postings(pairs(docs, "doc_id", text_col), docs_per_shard)
-    lists.repartitionByRange("hash").sortWithinPartitions("hash", "shard_id").write.option("parquet.block.size", str(16 << 20)).parquet(f"{target}/postings")
+    lists = text_postings(docs, docs_per_shard, text_col)
+    lists.write.option("parquet.block.size", str(16 << 20)).parquet(f"{target}/postings")
     saved = spark.read.parquet(f"{target}/docs")
     counts = saved.groupBy(F.floor(F.col("doc_id") / docs_per_shard).alias("shard_id")).agg(F.count("*").alias("n")).orderBy("shard_id").collect()
     shards, base = [], 0

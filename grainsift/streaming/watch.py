@@ -124,7 +124,7 @@ def replay(state: DataFrame, delta: DataFrame) -> DataFrame:
     removed = F.transform(F.filter(valid, lambda m: m["op"] == REMOVE), lambda m: m["hash"])
     gone = F.when(F.col("last_op").isNotNull(), F.col("last_op") == TOMBSTONE).otherwise(F.coalesce("tombstone", F.lit(False)))
     out = joined.where(F.coalesce("path", "new_path").isNotNull())
-    hashes = F.when(gone, empty).otherwise(F.array_sort(F.array_union(F.array_except(base, removed), added)))
+    hashes = F.when(gone, empty).otherwise(F.sort_array(F.array_union(F.array_except(base, removed), added)))
     return out.select("doc_id", F.coalesce("new_path", "path").alias("path"), "mtime", "size", hashes.alias("hashes"), gone.alias("tombstone"))
 
 
@@ -152,7 +152,7 @@ def file_contents(spark: SparkSession, paths: DataFrame) -> DataFrame:
     """``(path, mtime, size, hashes)`` of the paths that exist and can be indexed."""
     files = read_paths(paths).where(F.col("error").isNull() & indexable(F.col("content")))
     ids = files.withColumn("id", F.xxhash64("path"))
-    tokens = pairs(ids.select("id", "content"), "id", "content").groupBy(F.col("doc_id").alias("tid")).agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
+    tokens = pairs(ids.select("id", "content"), "id", "content").groupBy(F.col("doc_id").alias("tid")).agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
     joined = ids.join(tokens, F.col("id") == F.col("tid"), "left")
     return joined.select("path", "mtime", "size", F.coalesce("hashes", F.array().cast("array<long>")).alias("hashes"))
 
