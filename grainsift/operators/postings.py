@@ -10,6 +10,8 @@ from grainsift.plans.regex import Plan
 
 PLAN_BYTES = 8 << 20
 RANGE_BITS = 12
+MAX_ARRAYS = 64
+"""Hashes of a plan up to which lists are intersected as arrays."""
 
 
 def postings(pairs: DataFrame, docs_per_shard: int | None = None) -> DataFrame:
@@ -80,17 +82,32 @@ def plan_rows(spark, plan: Plan) -> DataFrame:
 
 def candidates(lists: DataFrame, plan: Plan, docs: DataFrame) -> DataFrame:
     """``(doc_id)`` that hold all hashes of some branch. Hashes reach the scan as an
-    ``In`` filter (the table is sorted by hash); one shuffle counts them per branch
-    and document."""
+    ``In`` filter, and row groups are sorted by hash.
+
+    Short plans meet by shard: one shuffle of a row for each hash and shard, lists
+    intersected as arrays of bounded length. Long ones are counted per branch and
+    document.
+    """
     if plan.kind == "all":
         return docs.select("doc_id").distinct()
     if plan.kind == "never":
         return docs.select("doc_id").limit(0)
     wanted = sorted({h for b in plan.branches for h in b})
-    found = lists.where(F.col("hash").isin(wanted)).join(plan_rows(lists.sparkSession, plan), "hash")
-    hits = found.select("branch", "n", "hash", F.explode("doc_ids").alias("doc_id"))
-    whole = hits.groupBy("branch", "n", "doc_id").agg(F.count_distinct("hash").alias("found")).where("found = n")
-    return whole.select("doc_id").distinct()
+    found = lists.where(F.col("hash").isin(wanted))
+    if "shard_id" not in lists.columns or len(wanted) > MAX_ARRAYS:
+        hits = found.join(plan_rows(lists.sparkSession, plan), "hash").select("branch", "n", "hash", F.explode("doc_ids").alias("doc_id"))
+        whole = hits.groupBy("branch", "n", "doc_id").agg(F.count_distinct("hash").alias("found")).where("found = n")
+        return whole.select("doc_id").distinct()
+    by_shard = found.groupBy("shard_id").agg(F.map_from_entries(F.collect_list(F.struct("hash", "doc_ids"))).alias("lists"))
+    none = F.array().cast("array<long>")
+    union = None
+    for branch in plan.branches:
+        parts = [F.coalesce(F.try_element_at("lists", F.lit(h).cast("long")), none) for h in branch]
+        both = parts[0]
+        for other in parts[1:]:
+            both = F.array_intersect(both, other)
+        union = both if union is None else F.array_union(union, both)
+    return by_shard.select(F.explode(union).alias("doc_id"))
 
 
 def forward_predicate(hashes: Column, plan: Plan) -> Column:

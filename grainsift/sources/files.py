@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsift.functions.ship import ship
+from grainsift.operators.numbering import dense_ids
 from grainsift.operators.verify import indexable
 
 IGNORE_FILES = (".gitignore", ".ignore")
@@ -109,8 +110,6 @@ def read_tree(spark: SparkSession, root: str, ignore_rules: bool = True, files_p
     files = read_paths(listed.select("path"))
     files = files.withColumn("content", F.when(F.col("error").isNull(), F.col("content")).otherwise(F.raise_error(F.concat("path", F.lit(": "), "error")).cast("binary")))
     kept = files.where(indexable(F.col("content")))
-    order = listed.withColumnRenamed("path", "listed")
-    # ids are dense over the files that stay: few columns, one row a file
-    ranks = kept.select("path").join(order, F.col("path") == F.col("listed")).select("path", "n")
-    numbered = spark.createDataFrame([(i, r["path"]) for i, r in enumerate(ranks.orderBy("n").select("path").toLocalIterator())], "doc_id long, numbered string")
+    # ids are dense over the files that stay
+    numbered = dense_ids(kept.select(F.col("path").alias("numbered")), "numbered")
     return kept.join(numbered, F.col("path") == F.col("numbered")).select("doc_id", "path", "content", "mtime", "size")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from grainsift.functions.ngrams import pairs
+from grainsift.operators.numbering import dense_ids
 from grainsift.operators.postings import array_difference
 from grainsift.operators.verify import indexable
 from grainsift.sources.files import read_paths
@@ -133,16 +134,8 @@ def live_docs(state: DataFrame) -> DataFrame:
 
 
 def renumber(docs: DataFrame, per_part: int = 100_000) -> DataFrame:
-    """Live documents with ids from 0 in order of path, as compaction gives them.
-    Ranges of paths are counted and numbered within, so no task sorts them all."""
-    live = live_docs(docs).drop("doc_id")
-    parts = max(1, live.count() // per_part)
-    ranged = live.repartitionByRange(parts, "path").withColumn("part", F.spark_partition_id())
-    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = ranged.groupBy("part").agg(F.count("*").alias("c")).select(F.col("part").alias("pp"), F.coalesce(F.sum("c").over(over), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("path")) - 1
-    joined = ranged.withColumn("r", rank).join(base, F.col("part") == F.col("pp"))
-    return joined.select((F.col("base") + F.col("r")).cast("long").alias("doc_id"), *live.columns)
+    """Live documents with ids from 0 in order of path, as compaction gives them."""
+    return dense_ids(live_docs(docs).drop("doc_id"), "path", "doc_id", per_part)
 
 
 # --- store and stream ------------------------------------------------------

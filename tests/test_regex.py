@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from grainsift.operators.postings import candidates, forward_predicate, postings
 from grainsift.functions.ngrams import pairs
@@ -87,6 +88,7 @@ def test_candidates_never_miss(spark):
     for pattern in ["needle", "fn main|login\\(", "beta_\\w+", "zzqq", "[a&&b]", "x*"]:
         regex = compile_regex(pattern)
         found = {r["doc_id"] for r in candidates(lists, regex.plan, docs).collect()}
+        assert found == {r["doc_id"] for r in candidates(lists.groupBy("hash").agg(F.flatten(F.collect_list("doc_ids")).alias("doc_ids")), regex.plan, docs).collect()}
         truth = {i for i, t in enumerate(texts) if pattern != "[a&&b]" and re.search(pattern, t)}
         assert truth <= found
         if regex.plan.kind == "union":

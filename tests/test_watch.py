@@ -135,3 +135,13 @@ def test_stream(spark, setup, tmp_path):
     change(spark, [(str(root / "e.txt"), "upsert")]).write.mode("append").json(str(feed))
     W.watch(store, stream, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination(120)
     assert live(store) == rebuilt(spark, str(root))
+
+
+def test_dense_ids(spark):
+    from grainsift.operators.numbering import dense_ids
+
+    names = random.Random(1).sample(range(10**6), 500)
+    rows = spark.createDataFrame([(f"{n:07}", n) for n in names], "path string, n long").repartition(7)
+    got = {r["n"]: r["doc_id"] for r in dense_ids(rows, "path", per_part=60).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names))}
+    assert dense_ids(rows.limit(0), "path").count() == 0
