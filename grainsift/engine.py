@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,3 +110,46 @@ class Engine:
                 last = r["doc_id"]
             out.append(f"{r['line_no']}:{r['line']}")
         return out
+
+
+def append_errors(errors: DataFrame, path: str) -> None:
+    """Adds verification errors to a log folder, one JSON line each."""
+    errors.withColumn("at", F.current_timestamp()).write.mode("append").json(path)
+
+
+class LiveSearch:
+    """Search as one types: waits until typing rests, and only the newest query
+    counts; Spark jobs of an older one are cancelled, its rows are never delivered."""
+
+    def __init__(self, engine: Engine, root: str, deliver: Callable[[int, list, dict], None], rest_s: float = 0.07, max_results: int = MAX_RESULTS):
+        self.engine, self.root, self.deliver, self.rest_s, self.max_results = engine, root, deliver, rest_s, max_results
+        self.newest, self.tag, self.lock = 0, "", threading.Lock()
+
+    def submit(self, pattern: str) -> threading.Thread:
+        with self.lock:
+            self.newest += 1
+            number = self.newest
+            if self.tag:
+                self.engine.spark.sparkContext.cancelJobsWithTag(self.tag)
+        thread = threading.Thread(target=self._run, args=(number, pattern), daemon=True)
+        thread.start()
+        return thread
+
+    def _run(self, number: int, pattern: str) -> None:
+        time.sleep(self.rest_s)
+        context, tag = self.engine.spark.sparkContext, f"live-{uuid.uuid4().hex}"
+        with self.lock:
+            if number != self.newest:
+                return
+            self.tag = tag
+        context.addJobTag(tag)
+        try:
+            rows, stats = self.engine.search(self.root, pattern, self.max_results)
+        except Exception as e:  # a cancelled job fails in Spark's own ways
+            rows, stats = [], {"backend": "error", "error": str(e)}
+        finally:
+            context.removeJobTag(tag)
+        with self.lock:
+            if number != self.newest:
+                return
+        self.deliver(number, rows, stats)

@@ -234,13 +234,19 @@ class WatchStore:
         return self.current()
 
 
-def watch(store: WatchStore, changes: DataFrame, checkpoint_dir: str, trigger: dict | None = None, compact_every: int = 600) -> StreamingQuery:
+def watch(
+    store: WatchStore, changes: DataFrame, checkpoint_dir: str, trigger: dict | None = None, compact_every: int = 600, on_status: Callable[[str, int], None] = lambda phase, batch: None
+) -> StreamingQuery:
     """Starts a stream of ``changes(path, action, ts, seq)`` into the store; within
-    a micro-batch the last action on a path wins. Compacts every so many batches."""
+    a micro-batch the last action on a path wins. Compacts every so many batches.
+    ``on_status`` hears of each phase (updating, compacting, idle) with its batch."""
 
     def run(batch: DataFrame, number: int) -> None:
+        on_status("updating", number)
         store.apply(batch, number)
         if compact_every and number and number % compact_every == 0:
+            on_status("compacting", number)
             store.compact(number)
+        on_status("idle", number)
 
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir).trigger(**(trigger or {"processingTime": "1 second"})).start()

@@ -4,7 +4,7 @@ import os
 import pytest
 
 from grainsift.cli import main, poll
-from grainsift.engine import Engine
+from grainsift.engine import Engine, LiveSearch, append_errors
 from grainsift.operators.postings import array_difference, manifest_errors, varint_size
 from grainsift.operators.verify import highlight_spans, sanitize
 from grainsift.sources.files import crawl
@@ -132,3 +132,20 @@ def test_small_functions(spark):
     assert (row["d"]["removed"], row["d"]["added"]) == ([1], [3, 9])
     sizes = spark.createDataFrame([(v,) for v in (0, 1, 127, 128, 16384, 4294967295)], "v long").select(varint_size(F.col("v")).alias("n"))
     assert [r["n"] for r in sizes.collect()] == [1, 1, 1, 2, 3, 5]
+
+
+def test_only_the_newest_search_is_delivered(tree, engine):
+    engine.index(str(tree))
+    got = []
+    live = LiveSearch(engine, str(tree), lambda *x: got.append(x), rest_s=0.3)
+    threads = [live.submit(p) for p in ("f", "fo", "common token")]
+    for t in threads:
+        t.join(120)
+    assert [(n, stats["backend"], stats["hits"]) for n, _, stats in got] == [(3, "index", 2)]
+
+
+def test_error_log(spark, tmp_path):
+    errors = spark.createDataFrame([(1, "p", "bad")], "doc_id long, path string, error string")
+    append_errors(errors, str(tmp_path / "log"))
+    append_errors(errors, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2

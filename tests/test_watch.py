@@ -131,7 +131,9 @@ def test_stream(spark, setup, tmp_path):
     change(spark, [(str(root / "a.txt"), "upsert")]).write.json(str(feed))
     (root / "e.txt").write_text("second\n")
     stream = spark.readStream.schema(schema).json(str(feed))
-    W.watch(store, stream, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination(120)
+    heard = []
+    W.watch(store, stream, str(tmp_path / "cp"), {"availableNow": True}, on_status=lambda *s: heard.append(s)).awaitTermination(120)
+    assert heard == [("updating", 0), ("idle", 0)]
     change(spark, [(str(root / "e.txt"), "upsert")]).write.mode("append").json(str(feed))
     W.watch(store, stream, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination(120)
     assert live(store) == rebuilt(spark, str(root))
