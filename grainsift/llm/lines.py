@@ -23,19 +23,25 @@ BOILERPLATE = (
     r"(?i)(all rights reserved|©|\(c\) ?[0-9]{4}|cookie (policy|settings|notice)|use[sd]? cookies|privacy policy|terms (of (use|service)|and conditions)|"
     r"enable javascript|javascript is (disabled|required)|lorem ipsum|subscribe to (our|the)|sign up for (our|the)|follow us on|powered by|released under the)"
 )
-SYMBOLS = r"[^#$%&*|~^_=<>{}\\/@]"
-CAPITALS = r"[^\p{Lu}]"
+SYMBOL, CAPITAL = r"[#$%&*|~^_=<>{}\\/@]", r"\p{Lu}"
+SYMBOLS, CAPITALS = r"[^#$%&*|~^_=<>{}\\/@]", r"[^\p{Lu}]"  # what else there is, for the SQL
+# every boilerplate phrase holds one of these, in lower case
+SIGNS = ("rights reserved", "©", "(c)", "cookie", "privacy policy", "terms ", "javascript", "lorem ipsum", "subscribe to", "sign up for", "follow us on", "powered by", "released under")
 
 
 def line_passes(line: Column) -> Column:
-    """Whether a trimmed line with text passes every rule."""
-    size = F.length(line)
+    """Whether a trimmed line with text passes every rule. Plain searches decide
+    whether the phrases have to be tried at every place."""
+    size, lower = F.length(line), F.lower(line)
+    signs = lower.contains(SIGNS[0])
+    for s in SIGNS[1:]:
+        signs = signs | lower.contains(s)
     return (
         line.rlike(PUNCTUATION)
+        & (F.regexp_count(line, F.lit(SYMBOL)) <= MAX_SYMBOLS * size)
+        & (F.regexp_count(line, F.lit(CAPITAL)) <= MAX_CAPITALS * size)
         & ~line.rlike(NAVIGATION)
-        & ~line.rlike(BOILERPLATE)
-        & (F.length(F.regexp_replace(line, SYMBOLS, "")) <= MAX_SYMBOLS * size)
-        & (F.length(F.regexp_replace(line, CAPITALS, "")) <= MAX_CAPITALS * size)
+        & ~(signs & line.rlike(BOILERPLATE))
     )
 
 
