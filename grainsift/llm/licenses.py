@@ -51,6 +51,23 @@ TEMPLATES = {
     "MIT-short": "Released under the MIT License.",
     "Apache-short": "Licensed under the Apache License, Version 2.0.",
     "All-rights-reserved": "Copyright. All rights reserved.",
+    # short notices, without what varies (verbs, versions): all forms hold them whole
+    "Rights-reserved-short": "All rights reserved.",
+    "MIT-licensed-short": "Licensed under the MIT License.",
+    "GPL-short": "under the GNU General Public License",
+    "LGPL-short": "under the GNU Lesser General Public License",
+    "AGPL-short": "under the GNU Affero General Public License",
+    "MPL-short": "under the Mozilla Public License",
+    "BSD-short": "under the BSD License",
+    "BSD-2-Clause-short": "under the BSD 2-Clause License",
+    "BSD-3-Clause-short": "under the BSD 3-Clause License",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Unlicense-short": "under the Unlicense",
+    "CC-BY-NC-short": "Licensed under CC BY-NC",
+    "CC-BY-SA-short": "Licensed under CC BY-SA",
+    "CC-BY-ND-short": "Licensed under CC BY-ND",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0",
+    "CC-BY-3.0-short": "Licensed under CC BY 3.0",
 }
 
 

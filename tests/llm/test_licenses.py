@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -61,3 +62,42 @@ def test_parts_of_a_large_library(spark, monkeypatch):
     monkeypatch.setattr(L, "TEMPLATE_BYTES", 300)
     docs = spark.createDataFrame([(1, "\n".join(L.TEMPLATES.values()))], "doc_id long, text string")
     assert {r["license"] for r in L.scan_licenses(docs).collect()} >= {n for n in L.TEMPLATES if "short" not in n}
+
+
+NOTICES = {
+    "GPL-short": r"GNU General Public License",
+    "CC-BY-NC-short": r"CC BY-NC",
+    "Rights-reserved-short": r"All rights reserved",
+    "MIT-short": r"Released under the MIT License",
+    "Apache-short": r"under the Apache License, Version 2\.0",
+}
+
+
+def test_recall_of_the_lines_of_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir[: -len('sf0.001')]}sf0.01/documents.parquet")
+    truth = {(r["doc_id"], n) for r in docs.collect() for n, p in NOTICES.items() if re.search(p, r["text"])}
+    assert {n for _, n in truth} == set(NOTICES)
+    got = {(r["doc_id"], r["license"]) for r in L.scan_licenses(docs).collect()}
+    assert len(got & truth) >= 0.98 * len(truth)
+    assert {x for x in got if x[1] in NOTICES} <= truth
+
+
+@pytest.mark.parametrize(
+    ("line", "name"),
+    [
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-short"),
+        ("Licensed under the GNU Lesser General Public License v3.0.", "LGPL-short"),
+        ("Distributed under the GNU Affero General Public License, version 3", "AGPL-short"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-short"),
+        ("2020 Somebody. All rights reserved.", "Rights-reserved-short"),
+        ("Released under the BSD 3-Clause License.", "BSD-3-Clause-short"),
+        ("Licensed under the Mozilla Public License 2.0", "MPL-short"),
+        ("Released under the Unlicense.", "Unlicense-short"),
+        ("Licensed under the MIT License.", "MIT-licensed-short"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0-short"),
+    ],
+)
+def test_short_notices(line, name):
+    data = np.frombuffer(f"Some words before. {line} And some behind.".encode(), np.uint8)
+    library = L.Library(L.TEMPLATES)
+    assert {library.names[t] for _, t, *_ in L.scan(library, Words(data, np.array([0, len(data)])))} == {name}
