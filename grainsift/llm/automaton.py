@@ -63,6 +63,15 @@ class Automaton:
                 link[made] = q if length[q] == length[p] + 1 else self._split(p, c, q)
             p = made
 
+    def holds(self, sequence: Sequence[int]) -> bool:
+        """Whether the whole sequence is one match."""
+        s: int | None = 0
+        for c in sequence:
+            s = self.next[s].get(c)
+            if s is None:
+                return False
+        return True
+
     def spans(self, sequence: Sequence[int], least: int) -> list[list[int]]:
         """The union of all matches of at least ``least`` symbols, from the matching
         statistics of the sequence."""
@@ -196,8 +205,10 @@ def _stream(span: int):
                 if body in seen:
                     found = [[0, n]]
                 else:
-                    found = automaton.spans(np.frombuffer(body, np.uint32).tolist(), span)
-                    if found != [[0, n]]:
+                    symbols = np.frombuffer(body, np.uint32).tolist()
+                    found = automaton.spans(symbols, span)
+                    # spans merge: runs across the seam of two matches are new
+                    if found != [[0, n]] or not automaton.holds(symbols):
                         waiting.append(body)
                 if found:
                     at = start + np.r_[0, np.cumsum(np.frombuffer(gaps, np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel(), dtype=np.int64)]

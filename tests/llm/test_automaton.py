@@ -60,6 +60,20 @@ def test_brute_force(spark, span, k):
     assert changed == {i: want[i] for i, t in rows if want[i] != t}
 
 
+def test_recombined_passages(spark):
+    """X W Y, then X Y, then a part across the seam of X and Y."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        x, w, y = (prose(rng, rng.randint(60, 90), 10**6) for _ in range(3))
+        rows += [(10 * i, f"{x} {w} {y}"), (10 * i + 1, f"{x} {y}"), (10 * i + 2, " ".join([*x.split()[-40:], *y.split()[:20]]))]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], DOCS)
+    got = {r["doc_id"]: r["text"] for r in A.remove_shared(docs).collect()}
+    want = brute(rows, A.MIN_WORDS)
+    assert got == want
+    assert all(want[10 * i + 2] == "" for i in range(60))
+
+
 def test_awkward(spark):
     docs = awkward(spark)
     rows = A.remove_shared(docs)
