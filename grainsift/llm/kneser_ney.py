@@ -24,8 +24,9 @@ QUANTILE = 0.998
 MARGIN = 1.05
 PRIOR_TOKENS = 30
 """A text's mean is taken with so many further tokens at its language's mean."""
-LEAST_CALIBRATION = 50
-"""Languages with fewer such texts use the quantile of all languages."""
+SPREAD_TEXTS = 50
+"""A language's spread is its own with the weight of its trusted texts, and that of
+all languages with the weight of so many."""
 SHARD_DOCS = 8_192
 BLOCK_TOKENS = 500_000
 BLOCK_DOCS = 60_000
@@ -403,7 +404,10 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
 
     The model is trained on half of the trusted texts (labelled good, not toxic), all
     of them and whole; ``threshold`` is the ``quantile`` of the perplexities of the
-    other half in the row's language, times ``margin``. Scoring asks every shard of
+    other half in the row's language, times ``margin``. It is the language's own at
+    every size: its mean, and its own spread above that, to which the spread of all
+    languages adds, ever less as its trusted texts get more. Languages without
+    trusted texts have no threshold, and their rows stay. Scoring asks every shard of
     bigram counts for the bigrams of whole blocks of documents: the log probability
     of a Kneser-Ney model in back-off form is a sum of one value for each context,
     word and known bigram, so shards answer independently and answers are added.
@@ -417,23 +421,22 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
     held = scored.where("tokens > 0").join(trusted.where("not train"), F.col("doc_id") == F.col("tid"), "left_semi").withColumn("cost", -F.col("logp"))
     # END is predicted too
     n = F.col("tokens") + 1
-    sums = [F.sum("cost").alias("c"), F.sum(n).alias("n"), F.count("*").alias("docs")]
-    means = held.groupBy("lang").agg(*sums).select("lang", (F.col("c") / F.col("n")).alias("mean"), "docs")
-    total = held.agg(*sums).first()
-    overall = total["c"] / total["n"] if total["n"] else None
-    means = F.broadcast(means)  # a row for each language
+    means = held.groupBy(F.col("lang").alias("ml")).agg((F.sum("cost") / F.sum(n)).alias("mean"))
+    means = F.broadcast(cut(means))  # a row for each language
 
     def shrunk(df: DataFrame) -> DataFrame:
-        m = means.withColumnRenamed("lang", "ml")
-        mean = F.coalesce(F.when(F.col("docs") >= LEAST_CALIBRATION, F.col("mean")), F.lit(overall), F.col("cost") / n)
-        return df.join(m, F.col("lang").eqNullSafe(F.col("ml")), "left").withColumn("score", (F.col("cost") + prior * mean) / (n + prior))
-
-    pick = F.percentile_approx("score", F.lit(quantile), F.lit(100_000))
-    limits = cut(shrunk(held).groupBy("lang").agg(pick.alias("limit"), F.count("*").alias("held")))
-    every = shrunk(held).agg(pick.alias("limit")).first()["limit"]
-    limits = F.broadcast(limits.where(F.col("held") >= LEAST_CALIBRATION).select(F.col("lang").alias("ll"), "limit"))
+        mean = F.coalesce(F.col("mean"), F.col("cost") / n)
+        return df.join(means, F.col("lang").eqNullSafe(F.col("ml")), "left").withColumn("score", (F.col("cost") + prior * mean) / (n + prior))
+
+    rated_held = shrunk(held).withColumn("over", F.col("score") - F.col("mean"))
+    pick = F.percentile_approx("over", F.lit(quantile), F.lit(100_000))
+    own = cut(rated_held.groupBy(F.col("lang").alias("ll"), F.col("mean").alias("level")).agg(pick.alias("own"), F.count("*").alias("held")))
+    every = rated_held.agg(pick.alias("every")).first()["every"]
+    # few texts seldom hold the rare ones: the less of them, the more of the common spread is added
+    spread = F.col("own") + F.greatest(F.lit(every) - F.col("own"), F.lit(0.0)) * SPREAD_TEXTS / (F.col("held") + SPREAD_TEXTS)
+    limits = F.broadcast(own.select("ll", (F.col("level") + spread).alias("limit")))
     rated = shrunk(scored.withColumn("cost", -F.col("logp"))).join(limits, F.col("lang").eqNullSafe(F.col("ll")), "left")
-    threshold = F.exp(F.coalesce(F.col("limit"), F.lit(every).cast("double"))) * margin
+    threshold = F.exp("limit") * margin
     perplexity = F.when(F.col("tokens") > 0, F.exp("score"))
     keep = (F.col("tokens") > 0) & F.coalesce(perplexity <= threshold, F.lit(True))
     return rated.select("doc_id", "h", "lang", "tokens", perplexity.alias("perplexity"), threshold.alias("threshold"), keep.alias("keep"))

@@ -121,6 +121,29 @@ def test_junk_goes_and_prose_stays(spark):
     assert not kept & {r[0] for r in junk}
 
 
+def test_rare_languages_are_judged_by_their_own(spark):
+    """A few trusted texts in a language of other words, and a language without any."""
+    rng = random.Random(9)
+
+    def rare(prefix):
+        return prose(rng, rng.randint(60, 120), 3000).replace("w", prefix).replace("W", prefix)
+
+    from fixtures import DOCS
+
+    rows = [(i, prose(rng, rng.randint(60, 120), 60), "en", "s", 0) for i in range(600)]
+    rows += [(1000 + i, rare("q"), "de", "s", 0) for i in range(60)]
+    rows += [(2000 + i, rare("k"), "is", "s", 0) for i in range(20)]
+    labels = [(i, 1, 0) for i in range(500)] + [(1000 + i, 1, 0) for i in range(24)]
+    docs = spark.createDataFrame(rows, DOCS)
+    rated = {r["doc_id"]: r for r in K.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    limits = {lang: {r["threshold"] for r in rated.values() if r["lang"] == lang} for lang in ("en", "de", "is")}
+    assert all(len(x) == 1 for x in limits.values())
+    assert limits["is"] == {None} and max(limits["de"]) > 2 * max(limits["en"])
+    assert sum(rated[1000 + i]["keep"] for i in range(60)) >= 57
+    assert all(rated[2000 + i]["keep"] for i in range(20))
+    assert sum(rated[i]["keep"] for i in range(600)) >= 590
+
+
 def test_awkward(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(i, 1, None) for i in range(30)] + [(None, 1, 0), (3, 0, 0), (4, None, 0), (5, 1, 1), (5, 1, 1)], "doc_id long, quality int, toxic int")
