@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,61 @@ LOOSE = r"[?&]+$"
 ADDRESS = r"^[hH][tT][tT][pP][sS]?://([^/?]*)([^?]*)(.*)$"
 HOST_PARTS = r"^(www|m)\.|:(80|443)$"
 SLASHES = r"/+$"
+# the patterns of the SQL; link_edges reads every spelling
 CANONICAL = r"(?i)<link [^>]*rel=[\"']?canonical[\"']?[^>]* href=[\"']([^\"']+)[\"']"
 REFRESH = r"(?i)<meta [^>]*http-equiv=[\"']?refresh[\"']?[^>]* content=[\"'][0-9]+; ?url=([^\"']+)[\"']"
 
+# a comment, a script or a whole tag: ">" may stand in quotes
+MARKUP = r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>|<(?:link|meta)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+TARGET = r"(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\"'].*))"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value named once, so that expressions don't multiply."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The first attribute of that name, in any quoting; empty if there is none."""
+    # attributes before it are read whole, so that a name inside a value isn't taken for one
+    other = r"(?:\s|/)+(?!" + name + r"[\s=/>])[^\s=/>\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?"
+    found = rf"(?is)^<[a-z]+(?:{other})*(?:\s|/)+{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+    return F.trim(F.replace(F.concat(*[F.regexp_extract(tag, found, i) for i in (1, 2, 3)]), F.lit("&amp;"), F.lit("&")))
+
+
+def resolve(base: Column, link: Column) -> Column:
+    """A link (absolute or relative) against an absolute address, as RFC 3986 has it,
+    without fragment; an empty link stays empty."""
+    return _let(_joined(base, F.regexp_replace(link, FRAGMENT, "")), _undotted)
+
+
+def _joined(base: Column, link: Column) -> Column:
+    scheme, root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_replace(F.substring(base, F.length(root) + 1, F.length(base)), r"[?#].*$", "")
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/?(.*/)?[^/]*$", 1))
+    return (
+        F.when(link == "", "")
+        .when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(root == "", "")
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, path, link))
+        .otherwise(F.concat(root, folder, link))
+    )
+
+
+def _undotted(whole: Column) -> Column:
+    head = F.regexp_extract(whole, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*)", 1)
+    rest = F.substring(whole, F.length(head) + 1, F.length(whole))
+    query = F.regexp_extract(rest, r"(\?.*)$", 1)
+    steps = F.split(F.substring(rest, F.lit(1), F.length(rest) - F.length(query)), "/", -1)
+    # dots: a step up takes the last step but never the root
+    up = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x)))
+    last = F.element_at(steps, -1)
+    clean = F.aggregate(steps, F.array().cast("array<string>"), up, lambda acc: F.when(last.isin(".", ".."), F.concat(acc, F.array(F.lit("")))).otherwise(acc))
+    dotted = (head != "") & rest.rlike(r"/\.\.?(?:[/?]|$)")
+    return F.when(dotted, F.concat(head, F.array_join(clean, "/"), query)).otherwise(whole)
+
 
 def normal_url(url: Column) -> Column:
     """The address that scheme, www/m hosts, default ports, fragments, tracking
@@ -33,12 +87,21 @@ def normal_url(url: Column) -> Column:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """``(u, v)``: each address to its normal form, and that to the normal forms of
-    the page's canonical link and its refresh target (absolute ones)."""
-    src = keep_columns(pages, "url", "html").where("url is not null and url <> ''")
-    html = F.coalesce(F.col("html"), F.lit(""))
-    targets = F.array(F.col("n"), *[normal_url(F.regexp_extract(html, p, 1)) for p in (CANONICAL, REFRESH)])
-    rows = src.withColumn("n", normal_url(F.col("url"))).select("url", "n", F.posexplode(targets).alias("k", "v"))
-    return rows.select(F.when(F.col("k") == 0, F.col("url")).otherwise(F.col("n")).alias("u"), "v").where("u <> v and (k = 0 or v rlike '^https://')").distinct()
+    the page's canonical link and its refresh target. Tags are read whole, with
+    attributes in any order and quoting, outside comments and scripts; of several the
+    first counts; relative targets are resolved against the page's address."""
+    src = keep_columns(pages, "url", "html").where("url is not null and url <> ''").withColumn("n", normal_url(F.col("url")))
+    own = src.select(F.col("url").alias("u"), F.col("n").alias("v"))
+    tags = F.filter(F.regexp_extract_all(F.col("html"), F.lit(MARKUP), F.lit(0)), lambda t: t.rlike("(?i)^<(link|meta)"))
+    tagged = src.where(F.col("html").rlike(r"(?i)canonical|refresh")).select("url", "n", tags.alias("tags"))
+    links = F.filter("tags", lambda t: t.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical") & (attribute(t, "href") != ""))
+    moves = F.filter("tags", lambda t: t.rlike("(?i)^<meta") & (F.lower(attribute(t, "http-equiv")) == "refresh") & attribute(t, "content").rlike(TARGET))
+    href = _let(F.get(links, F.lit(0)), lambda t: attribute(t, "href"))
+    content = _let(F.get(moves, F.lit(0)), lambda t: attribute(t, "content"))
+    target = _let(content, lambda c: F.trim(F.concat(*[F.regexp_extract(c, TARGET, i) for i in (1, 2, 3)])))
+    found = cut(tagged.select("url", "n", F.explode(F.array(href, target)).alias("link")).where("link <> ''"))
+    edges = cut(found.select(F.col("n").alias("u"), _let(resolve(F.col("url"), F.col("link")), normal_url).alias("v")).where("v rlike '^https://'"))
+    return own.unionByName(edges).where("u <> v").distinct()
 
 
 def _any(column: Column, tests: list[Column]) -> Column:

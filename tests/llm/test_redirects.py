@@ -1,4 +1,6 @@
 import random
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 from fixtures import empty
 from pyspark.sql import functions as F
@@ -59,6 +61,43 @@ def test_decisions(spark):
     assert component[8] is None and component[9] is None
 
 
+SPELLINGS = [
+    '<link rel="canonical" href="{}">', '<link href="{}" rel="canonical"/>', "<LINK HREF='{}' REL='Canonical' />", "<link rel=canonical href={}>", '<link\n  data-x="a>b rel=x" href = "{}"\n rel = "nofollow canonical">',
+    '<meta http-equiv="refresh" content="0; url={}">', '<meta content="5;URL={}" http-equiv="Refresh">', "<meta http-equiv=refresh content='0;url=\"{}\"'>", '<meta content="0; url=\'{}\'" http-equiv=refresh>',
+]
+LINKS = ["https://spam-farm.example.org/de/1", "//other.example/b?c=1", "/root", "next/page", "../up", "./same", "?q=2", "../../a/./b"]
+
+
+class Reader(HTMLParser):
+    """What the standard parser reads."""
+
+    def __init__(self):
+        super().__init__()
+        self.found = []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            self.found.append(a["href"])
+        if tag == "meta" and a.get("http-equiv", "").lower() == "refresh":
+            self.found.append(a["content"].split("=", 1)[1].strip("'\""))
+
+
+def test_spellings_of_links(spark):
+    base = "https://page.example/dir/sub/index"
+    html = [f"<html><head><title>t</title>{s.format(x)}</head><body></body></html>" for s in SPELLINGS for x in LINKS]
+    html += [f"<!-- {SPELLINGS[0].format('/no')} --><script>var t = '{SPELLINGS[5].format('/no')}';</script>", '<link rel="stylesheet" href="/s">', '<meta name="refresh" content="0; url=/x">', "canonical"]
+    pages = spark.createDataFrame([(f"{base}{i}", h) for i, h in enumerate(html)], "url string, html string")
+    want = []
+    for i, h in enumerate(html):
+        reader = Reader()
+        reader.feed(h)
+        want += [(f"{base}{i}", urljoin(f"{base}{i}", x)) for x in reader.found]
+    assert len(want) == len(SPELLINGS) * len(LINKS)
+    normal = spark.createDataFrame(want, "u string, t string").select("u", R.normal_url(F.col("t")).alias("v"))
+    assert sorted(map(tuple, R.link_edges(pages).collect())) == sorted(map(tuple, normal.collect()))
+
+
 def test_empty(spark):
     pages = empty(spark).selectExpr("doc_id page_id", "text url", "text html")
     assert R.decide(pages).count() == 0
