@@ -333,7 +333,8 @@ def _chunk(data: bytes) -> bytes:
 
 
 def decode(data: bytes) -> tuple[int, int, np.ndarray]:
-    """Width, height and ARGB pixels, row by row."""
+    """Width, height and ARGB pixels, row by row. Images of more than MAX_PIXELS
+    (2**26; the format allows 2**28) are refused."""
     r = _Reader(_chunk(data))
     if r.bits(8) != 0x2F:
         raise WebPError("wrong signature")
