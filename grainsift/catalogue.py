@@ -64,6 +64,7 @@ for _name, _pattern, _oracle in (
     ("pipe_escape", r"\| ", r"\| "),
     ("none", "zzqqxx", "zzqqxx"),
     ("ignore_case", "(?i)license", "(?i)license"),
+    ("long_repeat", "(?:[a-z]+ |[a-z]+, )+[a-z]+ing", "(?:[a-z]+ |[a-z]+, )+[a-z]+ing"),
     ("line_anchors", r"(?m)^The\b.*\.$", r"^The\b.*\.$"),
 ):
     query(f"regex_hits_{_name}", _hits_sql(_oracle))(_hits(_pattern))

@@ -30,14 +30,44 @@ class Result:
     errors: DataFrame | None = None
     backend: str = "idle"
     stats: dict = field(default_factory=dict)
+    found: DataFrame | None = None
 
 
-def indexed_search(docs: DataFrame, lists: DataFrame, pattern: str | Regex, text_col: str = "text") -> DataFrame:
-    """``(doc_id, line_no, line)`` of a table of texts through its posting lists."""
+KNOWN_IDS = 4096
+"""Candidates up to which their ids are looked up first and pushed into the scan."""
+KNOWN_RANGES = 64
+
+
+def id_ranges(ids: list[int], most: int = KNOWN_RANGES) -> list[tuple[int, int]]:
+    """At most so many ranges that hold all ids, split at the widest gaps."""
+    ids = sorted(set(ids))
+    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: most - 1]
+    cuts = [0, *sorted(i for i in gaps if ids[i] - ids[i - 1] > 1), len(ids)]
+    return [(ids[a], ids[b - 1]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def only(docs: DataFrame, found: DataFrame, key: str = "doc_id", known: int = KNOWN_IDS) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``found(doc_id)``. A few ids are fetched
+    and become ranges that the scan prunes files and row groups by (texts that an
+    index stores lie in order of id); more of them stay a join."""
+    ids = [r[0] for r in found.limit(known + 1).collect()]
+    if len(ids) > known:
+        return docs.join(found.withColumnRenamed("doc_id", key), key, "left_semi")
+    if not ids:
+        return docs.limit(0)
+    # as SQL text: literals one by one cost more than the lookup
+    at = f"`{key}`"
+    ranges = " OR ".join(f"{at} = {low}" if low == high else f"({at} >= {low} AND {at} <= {high})" for low, high in id_ranges(ids))
+    return docs.where(f"({ranges}) AND {at} IN ({', '.join(map(str, ids))})")
+
+
+def indexed_search(docs: DataFrame, lists: DataFrame, pattern: str | Regex, text_col: str = "text", known: int = KNOWN_IDS) -> DataFrame:
+    """``(doc_id, line_no, line)`` of a table of texts through its posting lists: only
+    candidates are read (as far as the order of ``docs`` allows) and matched."""
     regex = compile_regex(pattern) if isinstance(pattern, str) else pattern
     if regex.plan.kind != "union":
         return regex_hits(docs, regex, "doc_id", text_col)
-    return regex_hits(docs.join(candidates(lists, regex.plan, docs), "doc_id", "left_semi"), regex, "doc_id", text_col)
+    return regex_hits(only(docs, candidates(lists, regex.plan, docs), known=known), regex, "doc_id", text_col)
 
 
 class Engine:
@@ -77,14 +107,27 @@ class Engine:
             found, backend = docs.where(forward_predicate(F.col("hashes"), regex.plan)).select("doc_id", "path"), "watch"
         else:
             docs = index.docs
-            found, backend = docs.join(candidates(index.postings, regex.plan, docs), "doc_id", "left_semi").select("doc_id", "path"), "index"
+            found, backend = (docs if regex.plan.kind == "all" else only(docs, candidates(index.postings, regex.plan, docs))).select("doc_id", "path"), "index"
+        listed = time.time()
         if limit_docs is not None:
             found = found.orderBy("doc_id").limit(limit_docs)
         files = read_paths(found.select("path")).withColumnRenamed("path", "fp")
         contents = found.join(files, F.col("path") == F.col("fp")).select("doc_id", "path", "content", "error")
         hits, errors = verify_contents(contents, regex, ["doc_id", "path"])
         errors = errors.unionByName(contents.where("error is not null").select("doc_id", "path", "error"))
-        return Result(hits, errors, backend, {"open_s": opened - began, "plan": regex.plan.kind})
+        stats = {"open_s": opened - began, "plan": regex.plan.kind, "hashes": len({h for b in regex.plan.branches for h in b}), "lookup_s": listed - opened}
+        return Result(hits, errors, backend, stats, found.select("doc_id"))
+
+    def measured(self, result: Result) -> dict:
+        """Runs the parts of a result and tells what each took: candidates, hits,
+        documents with hits, seconds of reading and matching, and of everything."""
+        began = time.time()
+        candidates_ = result.found.count()
+        counted = time.time()
+        row = result.hits.agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs")).first()
+        done = time.time()
+        stats = {"candidates": candidates_, "candidates_s": counted - began, "hits": row["hits"], "docs": row["docs"], "verify_s": done - counted}
+        return result.stats | stats | {"total_s": done - began + result.stats["open_s"] + result.stats["lookup_s"]}
 
     def search(self, root: str, pattern: str, max_results: int = MAX_RESULTS, max_verify: int = MAX_VERIFIED) -> tuple[list, dict]:
         """For interactive use: the first rows of the first candidates, and counts.

@@ -9,9 +9,11 @@ from grainsift.functions.ngrams import partial_postings
 from grainsift.plans.regex import Plan
 
 PLAN_BYTES = 8 << 20
-RANGE_BITS = 12
+DOCS_PER_RANGE = 256
 MAX_ARRAYS = 64
-"""Hashes of a plan up to which lists are intersected as arrays."""
+"""Hashes of a plan up to which they are tested one by one, and lists of up to
+MAX_BRANCHES branches intersected as arrays: the answer is the same beyond, by a join."""
+MAX_BRANCHES = 16
 
 
 def postings(pairs: DataFrame, docs_per_shard: int | None = None) -> DataFrame:
@@ -28,8 +30,10 @@ def postings(pairs: DataFrame, docs_per_shard: int | None = None) -> DataFrame:
 def text_postings(docs: DataFrame, docs_per_shard: int, text_col: str = "text") -> DataFrame:
     """``(hash, shard_id, doc_ids)`` of texts: lists are grouped batch by batch before
     the one shuffle and joined after it. Rows come sorted by hash within ranges of
-    hashes (their high bits, which are uniform, so no sampling is needed)."""
-    parts = partial_postings(docs, "doc_id", text_col, docs_per_shard).withColumn("range", F.shiftright("hash", 64 - RANGE_BITS))
+    hashes (their high bits, which are uniform, so no sampling is needed); there are
+    the more ranges the more documents, so a range's size doesn't grow."""
+    bits = max(8, (docs.count() // DOCS_PER_RANGE).bit_length())
+    parts = partial_postings(docs, "doc_id", text_col, docs_per_shard).withColumn("range", F.shiftright("hash", 64 - bits))
     joined = F.flatten(F.collect_list("doc_ids"))
     lists = parts.repartition("range").groupBy("range", "hash", "shard_id").agg(joined.alias("ids"))
     # one text's repeats are gone; rows of one id may still repeat
@@ -89,12 +93,14 @@ def candidates(lists: DataFrame, plan: Plan, docs: DataFrame) -> DataFrame:
     document.
     """
     if plan.kind == "all":
-        return docs.select("doc_id").distinct()
+        return docs.select("doc_id")
     if plan.kind == "never":
         return docs.select("doc_id").limit(0)
     wanted = sorted({h for b in plan.branches for h in b})
-    found = lists.where(F.col("hash").isin(wanted))
-    if "shard_id" not in lists.columns or len(wanted) > MAX_ARRAYS:
+    # equalities prune row groups one by one; a long In is pushed as its least and greatest
+    few = len(wanted) <= MAX_ARRAYS
+    found = lists.where(" OR ".join(f"hash = {h}" for h in wanted) if few else f"hash IN ({', '.join(map(str, wanted))})")
+    if "shard_id" not in lists.columns or len(wanted) > MAX_ARRAYS or len(plan.branches) > MAX_BRANCHES:
         hits = found.join(plan_rows(lists.sparkSession, plan), "hash").select("branch", "n", "hash", F.explode("doc_ids").alias("doc_id"))
         whole = hits.groupBy("branch", "n", "doc_id").agg(F.count_distinct("hash").alias("found")).where("found = n")
         return whole.select("doc_id").distinct()

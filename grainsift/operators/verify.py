@@ -3,17 +3,25 @@
 A pattern is matched against the whole text, and each line on which a match begins
 is reported once. A marker put before every match changes just the lines where
 matches begin, so comparing the lines with and without markers gives the answer
-inside code generation, without Python.
+inside code generation, without Python. Patterns on which a backtracking engine
+could recurse or take more than linear time get their markers from a linear-time
+engine on Arrow batches instead; the rest is the same.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex as unicode_regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from grainsift.plans.regex import Regex, compile_regex
+from grainsift.functions.ship import ship
+from grainsift.plans.regex import GUARDED, NATIVE, Regex, compile_regex, python_form
 
 MARK = "␞"
 BINARY_PROBE = 8192
@@ -30,27 +38,67 @@ def indexable(content: Column) -> Column:
     return content.isNotNull() & ~is_binary(content) & (F.octet_length(content) <= MAX_BYTES - 1)
 
 
-def _hits(docs: DataFrame, java: str, prefilter: Column, keys: list[str], text_col: str) -> DataFrame:
-    text = F.col(text_col)
-    marked = F.regexp_replace(text, java, MARK + "$0")
-    lines = F.arrays_zip(F.split(text, "\n", -1).alias("line"), F.split(marked, "\n", -1).alias("marked"))
-    rows = docs.where(prefilter).select(*keys, F.posexplode(lines).alias("pos", "z"))
+GUARD_SECONDS = 60
+"""A text on which a guarded pattern takes longer fails the job, with its reason."""
+
+
+def _lines(docs: DataFrame, marked: Column, test: Column | None, keys: list[str], text_col: str) -> DataFrame:
+    """``test`` is part of the generator: unlike a filter, nothing pushes it below a
+    join that leaves documents out."""
+    lines = F.arrays_zip(F.split(F.col(text_col), "\n", -1).alias("line"), F.split(marked, "\n", -1).alias("marked"))
+    rows = docs.select(*keys, F.posexplode(lines if test is None else F.when(test, lines)).alias("pos", "z"))
     # "\n" inside a marker's place never moves lines: markers hold none
     rows = rows.where(F.col("z.line") != F.col("z.marked"))
     return rows.select(*keys, (F.col("pos") + 1).cast("long").alias("line_no"), F.regexp_replace("z.line", r"\r\z", "").alias("line"))
 
 
+def _hits(docs: DataFrame, java: str, test: Column, keys: list[str], text_col: str) -> DataFrame:
+    return _lines(docs, F.regexp_replace(F.col(text_col), java, MARK + "$0"), test, keys, text_col)
+
+
+def _marker(linear: str, guarded: str | None):
+    """Kernel: rows whose last column, the text, matches, with the marked text added."""
+    python = unicode_regex.compile(guarded, unicode_regex.V1) if guarded else None
+
+    def mark(texts: pa.Array) -> pa.Array:
+        if python is None:
+            return pc.replace_substring_regex(texts, linear, MARK + r"\0")
+        plain = pc.replace_substring_regex(texts, linear, MARK + r"\0").to_pylist()
+        for i in pc.indices_nonzero(pc.invert(pc.string_is_ascii(texts).fill_null(True))).to_pylist():
+            plain[i] = python.sub(lambda m: MARK + m.group(), texts[i].as_py(), timeout=GUARD_SECONDS)
+        return pa.array(plain, texts.type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.num_columns - 1
+            if python is None:
+                batch = batch.filter(pc.match_substring_regex(batch.column(at), linear).fill_null(False))
+            yield pa.record_batch([*batch.columns, mark(batch.column(at))], [*batch.schema.names, "marked"])
+
+    return run
+
+
 def regex_hits(docs: DataFrame, pattern: str | Regex, keys: str | list[str] = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(keys, line_no, line)``. A null text has no lines."""
+    """``(keys, line_no, line)``. A null text has no lines. The time is linear in the
+    text for every pattern but those with a Unicode word boundary and an unbounded
+    repetition."""
     regex = compile_regex(pattern) if isinstance(pattern, str) else pattern
     keys = [keys] if isinstance(keys, str) else keys
     text = F.col(text_col)
     if regex.plan.kind == "never":
         return _hits(docs.limit(0), regex.java, F.lit(False), keys, text_col)
-    test = text.rlike(regex.java)
-    if regex.literals and len(regex.literals) == 1 and len(regex.literals[0]) >= 2:
-        test = text.contains(regex.literals[0]) & test  # reaches the scan as StringContains
-    return _hits(docs, regex.java, test, keys, text_col)
+    sure = text.contains(regex.literals[0]) if regex.literals and len(regex.literals) == 1 and len(regex.literals[0]) >= 2 else None
+    if sure is not None:
+        docs = docs.where(sure)  # reaches the scan as StringContains; a plain search is cheap below a join too
+    if regex.engine == NATIVE:
+        return _hits(docs, regex.java, text.rlike(regex.java), keys, text_col)
+    ship(docs.sparkSession)
+    source = docs.select(*keys, text)
+    inner = source.toDF(*[f"c{i}" for i in range(len(source.columns))])
+    schema = StructType([*inner.schema.fields, StructField("marked", StringType())])
+    marked = inner.mapInArrow(_marker(regex.linear, python_form(regex.java) if regex.engine == GUARDED else None), schema)
+    found = _lines(marked, F.col("marked"), None, inner.columns[:-1], inner.columns[-1])
+    return found.toDF(*keys, "line_no", "line")
 
 
 def literal_hits(docs: DataFrame, literal: str, keys: str | list[str] = "doc_id", text_col: str = "text") -> DataFrame:

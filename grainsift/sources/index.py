@@ -15,6 +15,7 @@ from grainsift.operators.postings import text_postings
 
 FORMAT_VERSION = 1
 DOCS_PER_SHARD = 100_000
+TEXT_GROUP_BYTES = 1 << 20
 
 
 def index_path(home: str, root: str) -> str:
@@ -90,20 +91,26 @@ def current_version(spark: SparkSession, path: str) -> int | None:
     return int(files.read(f"{path}/CURRENT")) if files.exists(f"{path}/CURRENT") else None
 
 
-def write_index(docs: DataFrame, path: str, text_col: str = "content", docs_per_shard: int = DOCS_PER_SHARD, extra: dict | None = None) -> int:
+def write_index(docs: DataFrame, path: str, text_col: str = "content", docs_per_shard: int = DOCS_PER_SHARD, extra: dict | None = None, keep_text: bool = False) -> int:
     """Writes a new version and makes it current; returns its number.
 
     Lists are sorted by hash within each file, so that a query's hashes prune row
-    groups, and hold one range of documents each.
+    groups, and hold one range of documents each. With ``keep_text`` documents are
+    stored with their texts, in order of id and in small row groups, so that the ids
+    of candidates prune them.
     """
     spark = docs.sparkSession
     files = Files(spark)
     version = (current_version(spark, path) or 0) + 1
     target = f"{path}/v={version}"
     files.remove(target)  # what a failed attempt left
-    docs.drop(text_col).write.parquet(f"{target}/docs")
+    if keep_text:
+        stored = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", str(TEXT_GROUP_BYTES))
+        stored.option("parquet.page.size.row.check.min", "10").option("parquet.block.size.row.check.min", "10").parquet(f"{target}/docs")
+    else:
+        docs.drop(text_col).write.parquet(f"{target}/docs")
     lists = text_postings(docs, docs_per_shard, text_col)
-    lists.write.option("parquet.block.size", str(16 << 20)).parquet(f"{target}/postings")
+    lists.write.option("parquet.block.size", str(4 << 20)).parquet(f"{target}/postings")
     saved = spark.read.parquet(f"{target}/docs")
     counts = saved.groupBy(F.floor(F.col("doc_id") / docs_per_shard).alias("shard_id")).agg(F.count("*").alias("n")).orderBy("shard_id").collect()
     shards, base = [], 0

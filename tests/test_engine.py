@@ -149,3 +149,25 @@ def test_error_log(spark, tmp_path):
     append_errors(errors, str(tmp_path / "log"))
     append_errors(errors, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_indexed_search_matches_candidates_only(spark, tmp_path):
+    from grainsift.engine import id_ranges, indexed_search
+    from grainsift.operators.verify import regex_hits
+    from grainsift.sources.index import open_index, write_index
+
+    assert id_ranges([5, 6, 7, 100, 101, 9000], 3) == [(5, 7), (100, 101), (9000, 9000)]
+    assert id_ranges([5, 6, 7, 100, 101, 9000], 2) == [(5, 101), (9000, 9000)]
+    docs = spark.createDataFrame([(i, "p", f"text {i} needle_{i % 50} tail\nfoo_{i}") for i in range(3000)], "doc_id long, path string, text string")
+    write_index(docs, str(tmp_path / "ix"), "text", keep_text=True)
+    index = open_index(spark, str(tmp_path / "ix"))
+    for pattern in ("needle_7 ", "foo_299[0-9]", "needle_1|zzz", "nowhere_x"):
+        want = sorted(map(tuple, regex_hits(docs, pattern).collect()))
+        for known in (4096, 0):  # ids pushed into the scan, and a join
+            assert sorted(map(tuple, indexed_search(index.docs, index.postings, pattern, known=known).collect())) == want
+    few = indexed_search(index.docs, index.postings, "foo_299[0-9]")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "LessThanOrEqual(doc_id,2999)" in plan.replace("`", "")
+    many = indexed_search(index.docs, index.postings, "needle_1|zzz", known=0)
+    logical = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in logical.split("Join LeftSemi")[0] and "RLIKE" not in logical.split("Join LeftSemi")[1]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from grainsift.operators.postings import candidates, forward_predicate, postings
 from grainsift.functions.ngrams import pairs
 from grainsift.operators.verify import regex_hits
+import grainsift.plans.regex as regex_plans
 from grainsift.plans.regex import RegexError, compile_regex
 
 
@@ -93,3 +94,44 @@ def test_candidates_never_miss(spark):
         assert truth <= found
         if regex.plan.kind == "union":
             assert found == {r["doc_id"] for r in state.where(forward_predicate(state["hashes"], regex.plan)).collect()}
+
+
+@pytest.mark.parametrize(
+    ("pattern", "engine"),
+    [("foo|bar", "native"), (r"[a-z]{3}\d{2}", "native"), ("(?:ab){3}c", "native"), ("(?:ab|ba|a)*c", "linear"), ("(foo|bar)+x", "linear"), (r"\w+@", "linear"), ("x*", "linear"), (r"\bfoo.*", "native"), (r"(?:\ba|b)+c", "guarded")],
+)
+def test_engines(pattern, engine):
+    assert compile_regex(pattern).engine == engine
+
+
+@pytest.mark.parametrize("java", [r"[\p{IsAlphabetic}]", r"[\w]", r"[^\p{IsWhite_Space}]", r"[\p{IsGreek}&&[^\p{Lu}]]", r"[^\n]", r"[\x{41}-\x{5A}\-\]]", r"(?iu:[\p{Lu}])"])
+def test_ranges_hold_what_the_class_holds(spark, java):
+    chars = [chr(c) for c in [*range(0x250), *range(0x370, 0x400), 0x2028, 0x1F600, 0x10FFFF]]
+    docs = spark.createDataFrame([(c,) for c in chars], "c string")
+    native = {r["c"] for r in docs.where(F.col("c").rlike("(?U)\\A" + java + "\\z")).collect()}
+
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    got = pc.match_substring_regex(pa.array(chars), r"\A" + regex_plans._ranges(java) + r"\z").to_pylist()
+    assert {c for c, g in zip(chars, got, strict=True) if g} == native
+
+
+LONG = "ab" * 250_000 + "a"
+
+
+@pytest.mark.parametrize(
+    ("pattern", "text", "expected"),
+    [("(?:ab|ba|a)*c", LONG + "c", 1), ("(?:ab|ba|a)*c", LONG, 0), ("(foo|bar)+x", "foobar" * 100_000 + "x", 1), ("(a|a)*b", "a" * 200_000, 0), (r"(?:a+b?)+\b!", LONG + "!", 1), (r"(?:a+b?)+\b!", LONG[:2000] + "é!", 0), ("[a-z]*1", "a" * 1_000_000, 0), (r"(?:\w|é)+\bz", "é" * 3000 + " z", 0)],
+)
+def test_long_texts_neither_overflow_nor_hang(spark, pattern, text, expected):
+    docs = spark.createDataFrame([(1, "q\n" + text), (2, None)], "doc_id long, text string")
+    got = [(r["line_no"], r["line"]) for r in regex_hits(docs, pattern).collect()]
+    assert got == [(2, text)] * expected
+
+
+def test_no_empty_match_behind_a_match(spark):
+    docs = spark.createDataFrame([(1, "ba\nc")], "doc_id long, text string")
+    # a* matches nothing before b, then a, then nothing at the line end is not taken again
+    assert [r["line_no"] for r in regex_hits(docs, r"a\n|(?:)c|a*$").collect()] == [1, 2]
