@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,19 +10,13 @@ from fixtures import awkward, empty, prose
 from grainsift.llm import kneser_ney as K
 
 
-def tokens(text):
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    return K.tokenize(data, np.array([0, len(data)]))[0].tolist()
-
-
 def brute(train, texts):
-    """Log probabilities by the textbook recursion."""
-    seqs = [tokens(t) for t in train]
+    """Log probabilities by the textbook recursion, on the words themselves."""
+    seqs = [words(t) for t in train]
     bigrams = Counter(p for s in seqs for p in zip(s[:-1], s[1:], strict=True))
-    size = 1 << K.BITS
-    d = K.discounts(np.array([0, *[sum(c == k for c in bigrams.values()) for k in (1, 2, 3, 4)], 0]))
+    d = K.discounts(np.array([sum(c == k for c in bigrams.values()) for k in (1, 2, 3, 4)]))
     before = Counter(w for _, w in bigrams)
-    e = K.discounts(np.array([0, *[sum(c == k for c in before.values()) for k in (1, 2, 3, 4)], 0]))
+    e = K.discounts(np.array([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)]))
     whole = sum(before.values())
     spare = sum(e[min(c, 3)] for c in before.values()) / whole
     sums, kinds = Counter(), Counter()
@@ -31,7 +26,7 @@ def brute(train, texts):
 
     def p1(w):
         c = before[w]
-        return (c - e[min(c, 3)] if c else 0) / whole + spare / size
+        return (c - e[min(c, 3)] if c else 0) / whole + spare / (len(before) + 1)
 
     def p2(v, w):
         if not sums[v]:
@@ -39,13 +34,20 @@ def brute(train, texts):
         c = bigrams[v, w]
         return max(c - d[min(c, 3)], 0) / sums[v] * (c > 0) + kinds[v] / sums[v] * p1(w)
 
+    # probabilities sum to one, an unknown word included
+    for v in [*list(sums)[:5], "nowhere"]:
+        assert sum(p2(v, w) for w in [*before, "unknown"]) == pytest.approx(1)
     out = []
     for t in texts:
-        s = tokens(t)
+        s = words(t)
         out.append(math.log(p1(s[0])) + sum(math.log(p2(v, w)) for v, w in zip(s[:-1], s[1:], strict=True)))
     return out
 
 
+def words(text):
+    return re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[!-/:-@\[-`{-\x7f]+", text or "") + ["<end>"]
+
+
 def corpus(spark, n=160):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randint(3, 150), 400), rng.choice(["en", "de"]), "s", 0) for i in range(n)]
@@ -55,8 +57,12 @@ def corpus(spark, n=160):
     return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {r[0]: r[1] for r in rows}
 
 
-def test_scores_are_the_models(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [(0, 0), (40, 25), (1 << 20, 1 << 18)])
+def test_scores_are_the_models(spark, monkeypatch, hot):
+    """Whatever part of the model is hot, and with blocks of a few documents."""
     monkeypatch.setattr(K, "BLOCK_TOKENS", 900)
+    monkeypatch.setattr(K, "HOT_PAIRS", hot[0])
+    monkeypatch.setattr(K, "HOT_WORDS", hot[1])
     docs, labels, texts = corpus(spark)
     scored, trusted = K.scores(docs, labels)
     train = [texts[r["tid"]] for r in trusted.where("train").collect()]
@@ -64,28 +70,34 @@ def test_scores_are_the_models(spark, monkeypatch):
     got = {r["doc_id"]: r for r in scored.collect()}
     assert len(got) == len(texts)
     for i, want in zip(texts, brute(train, texts.values()), strict=True):
-        assert got[i]["logp"] == pytest.approx(want, rel=1e-4)
-        assert got[i]["tokens"] == len(tokens(texts[i])) - 1
-
-
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    size = 1 << K.BITS
-    v, w = rng.integers(1, 9, 300), rng.integers(0, 9, 300)
-    pairs = Counter(zip(v.tolist(), w.tolist(), strict=True))
-    sums, kinds, preceding = np.zeros(size), np.zeros((3, size)), np.zeros(size)
-    for (a, b), c in pairs.items():
-        sums[a] += c
-        kinds[min(c, 3) - 1, a] += 1
-        preceding[b] += 1
-    model = K.Model(sums, kinds, preceding, np.bincount([min(c, 5) for c in pairs.values()], minlength=6))
-    p = np.exp(model.log_p.astype(np.float64))
-    assert p.sum() == pytest.approx(1, abs=1e-4)
-    own = p * np.exp(float(model.log_gamma[3]))
-    for (a, b), c in pairs.items():
-        if a == 3:
-            own[b] *= np.exp(model.bigram(np.array([a]), np.array([b]), np.array([c], np.uint64))[0])
-    assert own.sum() == pytest.approx(1, abs=1e-4)
+        assert got[i]["logp"] == pytest.approx(want, rel=1e-5)
+        assert got[i]["tokens"] == len(words(texts[i])) - 1
+
+
+def test_judge_against_brute_force(spark):
+    docs, labels, texts = corpus(spark, 400)
+    trusted = {r["tid"]: r["train"] for r in K.trusted_ids(labels).collect()}
+    langs = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    logp = dict(zip(texts, brute([texts[i] for i, t in trusted.items() if t], texts.values()), strict=True))
+    score = {i: -logp[i] / len(words(texts[i])) for i in texts}
+    held = {lang: [score[i] for i, t in trusted.items() if not t and langs[i] == lang] for lang in ("en", "de")}
+    mean = {lang: sum(x) / len(x) for lang, x in held.items()}
+    over = {lang: sorted(x - mean[lang] for x in xs) for lang, xs in held.items()}
+
+    def quantile(xs):  # the least that so many don't exceed
+        return xs[math.ceil(K.QUANTILE * len(xs)) - 1]
+
+    every = quantile(sorted(over["en"] + over["de"]))
+    limit = {}
+    for lang, xs in over.items():
+        own = quantile(xs)
+        limit[lang] = math.exp(mean[lang] + own + max(every - own, 0) * K.SPREAD_TEXTS / (len(xs) + K.SPREAD_TEXTS)) * K.MARGIN
+    got = {r["doc_id"]: r for r in K.judge(docs, labels).collect()}
+    assert len(got) == 400
+    for i, r in got.items():
+        assert r["perplexity"] == pytest.approx(math.exp(score[i]), rel=1e-4)
+        assert r["threshold"] == pytest.approx(limit[langs[i]], rel=1e-4)
+        assert r["keep"] == (r["perplexity"] <= r["threshold"])
 
 
 @pytest.mark.parametrize("docs", [1, 10**5, 10**8, 10**11])
@@ -93,19 +105,32 @@ def test_grid(docs):
     rng = np.random.default_rng(0)
     grid = K.Grid(docs)
     v, w = rng.integers(0, 1 << K.BITS, 1000).astype(np.uint64), rng.integers(0, 1 << K.BITS, 1000).astype(np.uint64)
-    a, b = grid.split(grid.key(v, w))
+    key = grid.key(v, w)
+    a, b = grid.split(key)
     assert (a == v).all() and (b == w).all()
-    assert len(np.unique(grid.key(v, w))) == 1000
+    assert len(np.unique(key)) == 1000
+    short = grid.short(key, 52)
+    assert (short >> np.uint64(52 - grid.bits) == key >> np.uint64(64 - grid.bits)).all()
+    assert len(np.unique(short)) == 1000 and int(short.max()) < 1 << 52
 
 
 def test_codec():
     rng = np.random.default_rng(0)
     for n in (0, 1, 500):
-        keys = np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64))
+        keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         counts = rng.integers(1, 9, len(keys)).astype(np.uint64)
         who = rng.integers(0, 60_000, int(counts.sum())).astype(np.uint64)
         for got, want in zip(K.decode(K.encode(keys, counts, who)), (keys, counts, who), strict=True):
             assert (got == want).all()
+    everyone = np.tile(np.arange(4000, dtype=np.uint64), 5)  # five keys that all documents ask for
+    assert len(K.encode(np.arange(5).astype(np.uint64), np.full(5, 4000, np.uint64), everyone)) < 200
+
+
+def test_hot_part_is_bounded():
+    counts = np.random.default_rng(3).zipf(1.3, 50_000)
+    for most in (0, 10, 1000, 10**6):
+        least = K._frequent(K._histogram(counts[counts < 1 << 40])[6:], most)
+        assert (counts[counts < 1 << 40] >= least).sum() <= most
 
 
 def test_junk_goes_and_prose_stays(spark):
