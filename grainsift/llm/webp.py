@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,11 @@ NEAR = [
 ]
 PREDICTOR, COLOUR, GREEN, PALETTE = range(4)
 _HASH = 0x1E35A7BD
-MAX_PIXELS = 1 << 26
+WAVE_PIXELS = 8
+"""Predictions are undone by anti-diagonals, in numpy, where as many pixels of one go
+together on average."""
+PART = 1 << 20
+BATCH_PIXELS = 4 << 20
 
 
 class WebPError(ValueError):
@@ -65,80 +71,80 @@ def _codes(lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
-class _Code:
-    """A prefix code as a table over its longest code; a lone symbol takes no bits."""
-
-    __slots__ = ("only", "table", "width")
-
-    def __init__(self, lengths: dict[int, int] | Sequence[int]):
-        listed = lengths if isinstance(lengths, dict) else {s: n for s, n in enumerate(lengths) if n}
-        self.only, self.width, self.table = -1, 0, []
-        if len(listed) <= 1:
-            self.only = next(iter(listed), 0)
-            return
-        full = [0] * (max(listed) + 1)
-        for s, n in listed.items():
-            full[s] = n
-        self.width = max(full)
-        self.table = [(0, 0)] * (1 << self.width)
-        for s, (bits, n) in _codes(full).items():
-            for high in range(1 << (self.width - n)):
-                self.table[bits | high << n] = (s, n)
-
-    def read(self, r: _Reader) -> int:
-        if self.only >= 0:
-            return self.only
-        p = r.pos
-        s, n = self.table[(int.from_bytes(r.data[p >> 3 : (p >> 3) + 3], "little") >> (p & 7)) & ((1 << self.width) - 1)]
-        r.pos = p + n
-        if r.pos > r.end:
-            raise WebPError("the image data ends early")
-        return s
+@lru_cache(16)
+def _mirrored(width: int) -> np.ndarray:
+    """The numbers of so many bits, each with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(width):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
+Table = tuple[list[int], int]
+"""``symbol << 4 | length`` for each value of the next bits, and the mask of these."""
+
 
+def _table(lengths: Sequence[int]) -> Table:
+    """A prefix code; a lone symbol takes no bits."""
+    every = np.asarray(lengths, np.int64)
+    used = np.flatnonzero(every)
+    if len(used) <= 1:
+        return [int(used[0]) << 4 if len(used) else 0], 0
+    n = every[used]
+    order = np.argsort(n, kind="stable")
+    used, n = used[order], n[order]
+    width = int(n[-1])
+    room = 1 << (width - n)
+    if room.sum() != 1 << width:
+        raise WebPError("too many codes" if room.sum() > 1 << width else "incomplete prefix code")
+    # canonical codes fill the table in order when read from the high bit
+    return np.repeat(used << 4 | n, room)[_mirrored(width)].tolist(), (1 << width) - 1
 
-def _read_code(r: _Reader, alphabet: int) -> _Code:
+
+def _read_table(r: _Reader, alphabet: int) -> Table:
     if r.bits(1):
         two = r.bits(1)
-        first = r.bits(8 if r.bits(1) else 1)
-        symbols = {first: 1}
+        symbols = [r.bits(8 if r.bits(1) else 1)]
         if two:
-            symbols[r.bits(8)] = 1
+            symbols.append(r.bits(8))
         if max(symbols) >= alphabet:
             raise WebPError("a symbol outside its alphabet")
-        return _Code(symbols)
+        return ([s << 4 | 1 for s in sorted(symbols)], 1) if len(set(symbols)) == 2 else ([symbols[0] << 4], 0)
     lengths = [0] * 19
     for s in LENGTH_ORDER[: 4 + r.bits(4)]:
         lengths[s] = r.bits(3)
-    code = _Code(lengths)
+    table, mask = _table(lengths)
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else alphabet
     out: list[int] = []
-    last = 8
+    last, data, p = 8, r.data, r.pos
     while len(out) < alphabet and left:
         left -= 1
-        s = code.read(r)
+        bits = int.from_bytes(data[p >> 3 : (p >> 3) + 4], "little") >> (p & 7)
+        e = table[bits & mask]
+        s, n = e >> 4, e & 15
         if s < 16:
             out.append(s)
             last = s or last
-        elif s == 16:
-            out += [last] * (3 + r.bits(2))
-        elif s == 17:
-            out += [0] * (3 + r.bits(3))
         else:
-            out += [0] * (11 + r.bits(7))
+            least, extra = ((3, 2), (3, 3), (11, 7))[s - 16]
+            out += [last if s == 16 else 0] * (least + (bits >> n & ((1 << extra) - 1)))
+            n += extra
+        p += n
+        if p > r.end:
+            raise WebPError("the image data ends early")
+    r.pos = p
     if len(out) > alphabet:
         raise WebPError("too many code lengths")
-    return _Code(out)
+    return _table(out)
 
 
-def _number(r: _Reader, code: int) -> int:
-    if code < 4:
-        return code + 1
-    extra = (code - 2) >> 1
-    return ((2 + (code & 1)) << extra) + r.bits(extra) + 1
+#: least value and extra bits of each prefix symbol of lengths and distances
+_VALUES = [(c + 1, 0) if c < 4 else (((2 + (c & 1)) << ((c - 2) >> 1)) + 1, (c - 2) >> 1) for c in range(40)]
 
 
-def _read_pixels(r: _Reader, width: int, height: int, main: bool) -> list[int]:
-    """An entropy-coded image as ARGB numbers."""
+def _read_pixels(r: _Reader, width: int, height: int, main: bool) -> array:
+    """An entropy-coded image as ARGB numbers, 32 bits each. A window of 121 bits is
+    taken for each pixel or reference: neither needs more."""
     cache_bits = 0
     if r.bits(1):
         cache_bits = r.bits(4)
@@ -152,22 +158,41 @@ def _read_pixels(r: _Reader, width: int, height: int, main: bool) -> list[int]:
         meta = [(p >> 8) & 0xFFFF for p in _read_pixels(r, across, (height + (1 << step) - 1) >> step, False)]
         groups = max(meta) + 1
     sizes = (280 + (len(cache) if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[_read_code(r, n) for n in sizes] for _ in range(groups)]
-    total, out = width * height, []
-    green, red, blue, alpha, distance = codes[0]
+    codes = [[_read_table(r, n) for n in sizes] for _ in range(groups)]
+    total, out, n = width * height, array("I"), 0
+    (green, gm), (red, rm), (blue, bm), (alpha, am), (distance, dm) = codes[0]
     pending = 0  # pixels before this are in the cache
-    while (n := len(out)) < total:
+    data, p, end, block = r.data, r.pos, r.end, -1
+    while n < total:
         if meta is not None:
-            x = n % width
-            green, red, blue, alpha, distance = codes[meta[((n // width) >> step) * across + (x >> step)]]
-        s = green.read(r)
+            y, x = divmod(n, width)
+            at = (y >> step) * across + (x >> step)
+            if at != block:
+                block = at
+                (green, gm), (red, rm), (blue, bm), (alpha, am), (distance, dm) = codes[meta[at]]
+        bits = int.from_bytes(data[p >> 3 : (p >> 3) + 16], "little") >> (p & 7)
+        e = green[bits & gm]
+        s, used = e >> 4, e & 15
         if s < 256:
-            high = red.read(r) << 16
-            low = blue.read(r)
-            out.append(alpha.read(r) << 24 | high | s << 8 | low)
+            e = red[bits >> used & rm]
+            used += e & 15
+            pixel = e >> 4 << 16 | s << 8
+            e = blue[bits >> used & bm]
+            used += e & 15
+            pixel |= e >> 4
+            e = alpha[bits >> used & am]
+            p += used + (e & 15)
+            out.append(e >> 4 << 24 | pixel)
+            n += 1
         elif s < 280:
-            size = _number(r, s - 256)
-            d = _number(r, distance.read(r))
+            size, extra = _VALUES[s - 256]
+            size += bits >> used & ((1 << extra) - 1)
+            used += extra
+            e = distance[bits >> used & dm]
+            used += e & 15
+            d, extra = _VALUES[e >> 4]
+            d += bits >> used & ((1 << extra) - 1)
+            p += used + extra
             if d > 120:
                 d -= 120
             else:
@@ -179,11 +204,17 @@ def _read_pixels(r: _Reader, width: int, height: int, main: bool) -> list[int]:
                 out += out[n - d : n - d + size]
             else:
                 out += (out[n - d :] * (size // d + 1))[:size]
+            n += size
         else:
-            for p in out[pending:]:
-                cache[(p * _HASH & 0xFFFFFFFF) >> shift] = p
+            for pixel in out[pending:]:
+                cache[(pixel * _HASH & 0xFFFFFFFF) >> shift] = pixel
             pending = n
+            p += used
             out.append(cache[s - 280])
+            n += 1
+        if p > end:
+            raise WebPError("the image data ends early")
+    r.pos = p
     return out
 
 
@@ -247,16 +278,49 @@ def predict(mode: int, left: int, top: int, corner: int, right: int) -> int:
     return 0xFF000000
 
 
+#: which of left, above, above left and above right each predictor looks at
+_NEEDED = [(), (0,), (1,), (3,), (2,), (0, 1, 3), (0, 2), (0, 1), (1, 2), (1, 3), (0, 1, 2, 3), (0, 1, 2), (0, 1, 2), (0, 1, 2), (), ()]
+_BLACK = np.array([0, 0, 0, 255])
+
+
+def predict_all(mode: int, left: np.ndarray, top: np.ndarray, corner: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The same for many pixels, given as rows of four channels of 16 bits."""
+    if mode in (1, 2, 3, 4):
+        return (left, top, right, corner)[mode - 1]
+    if mode == 5:
+        return ((left + right >> 1) + top) >> 1
+    if mode == 6:
+        return left + corner >> 1
+    if mode == 7:
+        return left + top >> 1
+    if mode == 8:
+        return corner + top >> 1
+    if mode == 9:
+        return top + right >> 1
+    if mode == 10:
+        return ((left + corner >> 1) + (top + right >> 1)) >> 1
+    if mode == 11:
+        nearer = np.abs(top - corner).sum(axis=1) < np.abs(left - corner).sum(axis=1)
+        return np.where(nearer[:, None], left, top)
+    if mode == 12:
+        return np.clip(left + top - corner, 0, 255)
+    if mode == 13:
+        mean = left + top >> 1
+        d = mean - corner
+        return np.clip(mean + (d + (d < 0) >> 1), 0, 255)  # halves are cut towards zero
+    return _BLACK
+
+
 def _sum(a: int, b: int) -> int:
     return ((a & 0xFF00FF00) + (b & 0xFF00FF00) & 0xFF00FF00) | ((a & 0x00FF00FF) + (b & 0x00FF00FF) & 0x00FF00FF)
 
 
-def _neighbours(pixels: list[int], width: int, i: int) -> tuple[int, int, int, int]:
+def _neighbours(pixels: Sequence[int], width: int, i: int) -> tuple[int, int, int, int]:
     # beyond the right edge the pixel above right is the first of this row
     return pixels[i - 1], pixels[i - width], pixels[i - width - 1], pixels[i - width + 1]
 
 
-def _mode(i: int, width: int, step: int, across: int, modes: list[int]) -> int:
+def _mode(i: int, width: int, step: int, across: int, modes: Sequence[int]) -> int:
     """The predictor of pixel i; the first row and column have their own."""
     if i < width:
         return 1 if i else 0
@@ -265,28 +329,54 @@ def _mode(i: int, width: int, step: int, across: int, modes: list[int]) -> int:
     return modes[((i // width) >> step) * across + ((i % width) >> step)] >> 8 & 15
 
 
-def _undo_prediction(pixels: list[int], width: int, step: int, modes: list[int]) -> list[int]:
-    across = (width + (1 << step) - 1) >> step
-    for i in range(len(pixels)):
-        near = _neighbours(pixels, width, i) if i >= width else (pixels[i - 1], 0, 0, 0)
-        left, top, corner, right = near
-        pixels[i] = _sum(pixels[i], predict(_mode(i, width, step, across, modes), left, top, corner, right))
+def _undo_by_pixel(pixels: np.ndarray, width: int, step: int, modes: Sequence[int]) -> np.ndarray:
+    out, across = pixels.tolist(), (width + (1 << step) - 1) >> step
+    for i in range(len(out)):
+        near = _neighbours(out, width, i) if i >= width else (out[i - 1], 0, 0, 0)
+        out[i] = _sum(out[i], predict(_mode(i, width, step, across, modes), *near))
+    return np.array(out, np.uint32)
+
+
+def _undo_by_waves(pixels: np.ndarray, width: int, step: int, modes: Sequence[int]) -> np.ndarray:
+    """Pixels with the same x + 2 y depend on earlier ones only, so each such wave is
+    undone at once, mode by mode; waves run through bands of rows."""
+    height, across = len(pixels) // width, (width + (1 << step) - 1) >> step
+    pixels = pixels.copy()
+    flat = pixels.view(np.uint8).reshape(-1, 4)
+    of_block = np.array(modes, np.uint32) >> 8 & 15
+    band, back = max(64, PART // width), (1, width, width + 1, width - 1)
+    for row in range(0, height, band):
+        rows = min(band, height - row)
+        y, x = np.divmod(np.arange(rows * width), width)
+        mode = of_block[(y + row >> step) * across + (x >> step)].astype(np.int64)
+        mode[x == 0] = 2
+        if row == 0:
+            mode[:width] = 1
+            mode[0] = 0
+        key = (x + 2 * y) * 16 + mode
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.diff(key[order], prepend=-1))
+        place = order + row * width
+        for a, b, m in zip(at.tolist(), [*at[1:].tolist(), len(order)], mode[order[at]].tolist(), strict=True):
+            i = place[a:b]
+            near = [flat[i - back[k]].astype(np.int16) if k in _NEEDED[m] else None for k in range(4)]
+            flat[i] += (predict_all(m, *near) if m in range(1, 14) else _BLACK).astype(np.uint8)
     return pixels
 
 
-def _signed(a: np.ndarray) -> np.ndarray:
-    return (a.astype(np.int64) ^ 128) - 128
+def _undo_prediction(pixels: np.ndarray, width: int, step: int, modes: Sequence[int]) -> np.ndarray:
+    waves = (width + 2 * (len(pixels) // width)) * len(set(modes))
+    return (_undo_by_waves if len(pixels) >= WAVE_PIXELS * waves else _undo_by_pixel)(pixels, width, step, modes)
 
 
-def _spread(values: np.ndarray, width: int, height: int, step: int) -> np.ndarray:
-    across = (width + (1 << step) - 1) >> step
-    y, x = np.divmod(np.arange(width * height), width)
-    return values[(y >> step) * across + (x >> step)]
+def _signed(a: np.ndarray) -> np.ndarray:
+    return (a.astype(np.int64) ^ 128) - 128
 
 
-def _cross_colour(pixels: np.ndarray, elements: np.ndarray, width: int, height: int, step: int, sign: int) -> np.ndarray:
+def _cross_colour(pixels: np.ndarray, elements: np.ndarray, sign: int) -> np.ndarray:
     """Adds (sign 1) or takes away (-1) what green says of red, and both of blue."""
-    e = _spread(elements, width, height, step)
+    e = elements.astype(np.int64)
+    pixels = pixels.astype(np.int64)
     green = _signed(pixels >> 8 & 255)
     old_red = pixels >> 16 & 255
     red = old_red + sign * (_signed(e & 255) * green >> 5) & 255
@@ -299,25 +389,31 @@ def _packing(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def _undo(kind: int, pixels: list[int], width: int, height: int, extra: tuple) -> list[int]:
+def _undo(kind: int, pixels: np.ndarray, width: int, height: int, extra: tuple) -> np.ndarray:
     if kind == PREDICTOR:
         return _undo_prediction(pixels, width, *extra)
-    p = np.array(pixels, np.int64)
-    if kind == COLOUR:
-        step, elements = extra
-        return _cross_colour(p, np.array(elements, np.int64), width, height, step, 1).tolist()
-    if kind == GREEN:
-        g = p >> 8 & 255
-        return (p & 0xFF00FF00 | ((p >> 16) + g & 255) << 16 | p + g & 255).tolist()
-    (colours,) = extra
-    pack = _packing(len(colours))
-    narrow = (width + (1 << pack) - 1) >> pack
-    bits = 8 >> pack
-    y, x = np.divmod(np.arange(width * height), width)
-    index = (p[y * narrow + (x >> pack)] >> 8 & 255) >> ((x & ((1 << pack) - 1)) * bits) & ((1 << bits) - 1)
-    full = np.zeros(256, np.int64)
-    full[: len(colours)] = colours
-    return full[index].tolist()
+    out = np.empty(width * height, np.uint32)
+    for low in range(0, len(out), PART):  # so that wider numbers in between stay few
+        high = min(low + PART, len(out))
+        y, x = np.divmod(np.arange(low, high), width)
+        if kind == COLOUR:
+            step, elements = extra
+            of_pixel = np.array(elements, np.uint32)[(y >> step) * ((width + (1 << step) - 1) >> step) + (x >> step)]
+            out[low:high] = _cross_colour(pixels[low:high], of_pixel, 1)
+        elif kind == GREEN:
+            p = pixels[low:high].astype(np.int64)
+            g = p >> 8 & 255
+            out[low:high] = p & 0xFF00FF00 | ((p >> 16) + g & 255) << 16 | p + g & 255
+        else:
+            (colours,) = extra
+            pack = _packing(len(colours))
+            narrow = (width + (1 << pack) - 1) >> pack
+            bits = 8 >> pack
+            index = (pixels[y * narrow + (x >> pack)].astype(np.int64) >> 8 & 255) >> ((x & ((1 << pack) - 1)) * bits) & ((1 << bits) - 1)
+            full = np.zeros(256, np.uint32)
+            full[: len(colours)] = colours
+            out[low:high] = full[index]
+    return out
 
 
 def _chunk(data: bytes) -> bytes:
@@ -333,16 +429,14 @@ def _chunk(data: bytes) -> bytes:
 
 
 def decode(data: bytes) -> tuple[int, int, np.ndarray]:
-    """Width, height and ARGB pixels, row by row. Images of more than MAX_PIXELS
-    (2**26; the format allows 2**28) are refused."""
+    """Width, height and ARGB pixels, row by row, of any size that the format has
+    (16,384 x 16,384 at most)."""
     r = _Reader(_chunk(data))
     if r.bits(8) != 0x2F:
         raise WebPError("wrong signature")
     width, height, alpha = r.bits(14) + 1, r.bits(14) + 1, r.bits(1)
     if r.bits(3):
         raise WebPError("unknown version")
-    if width * height > MAX_PIXELS:
-        raise WebPError("too many pixels")
     done, now, seen = [], width, set()
     while r.bits(1):
         kind = r.bits(2)
@@ -365,11 +459,10 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
             pack = _packing(n)
             now = (now + (1 << pack) - 1) >> pack
         done.append((kind, before, extra))
-    pixels = _read_pixels(r, now, height, True)
+    pixels = np.frombuffer(_read_pixels(r, now, height, True), np.uint32)
     for kind, w, extra in reversed(done):
         pixels = _undo(kind, pixels, w, height, extra)
-    out = np.array(pixels, np.int64).astype(np.uint32)
-    return width, height, out if alpha else out | np.uint32(0xFF000000)
+    return width, height, pixels if alpha else pixels | np.uint32(0xFF000000)
 
 
 # --- encoder ---------------------------------------------------------------
@@ -580,7 +673,8 @@ def encode(pixels: np.ndarray, width: int, transforms: Sequence[int] = (), cache
         if kind == COLOUR:
             elements = np.full(across * down, 0xFF000000 | element)
             _write_pixels(w, elements.tolist(), across, 0, False)
-            now = _cross_colour(now, elements, wide, height, size, -1)
+            y, x = np.divmod(np.arange(wide * height), wide)
+            now = _cross_colour(now, elements[(y >> size) * across + (x >> size)], -1)
         else:
             chosen = [0xFF000000 | modes[k % len(modes)] << 8 for k in range(across * down)]
             _write_pixels(w, chosen, across, 0, False)
@@ -606,25 +700,39 @@ def decode_images(images: DataFrame) -> DataFrame:
 
     A null image gives nulls; one that is empty, cut short, not lossless WebP or
     damaged gives nulls and says why in ``error``, and never fails the job. Null
-    ids and repeated rows are decoded like others. An empty table stays empty.
+    ids and repeated rows are decoded like others. An empty table stays empty. A
+    task holds one image and BATCH_PIXELS pixels (of four bytes) at a time.
     """
     prepare(images.sparkSession)
 
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string())
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        flat = np.concatenate([np.zeros(0, np.int32), *[r[3] for r in rows if r[3] is not None]])
+        ends = np.cumsum([0, *[0 if r[3] is None else len(r[3]) for r in rows]])
+        pixels = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([r[3] is None for r in rows]))
+        columns = [pixels if i == 3 else pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+        return pa.record_batch(columns, ["image_id", "width", "height", "pixels", "error"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for value in batch.column(1):
-                row: tuple = (None, None, None, None)
+            rows: list[tuple] = []
+            size = 0
+            for ident, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                row: tuple = (ident, None, None, None, None)
                 if value.is_valid:
                     try:
                         width, height, pixels = decode(value.as_py())
-                        row = (width, height, pixels.view(np.int32), None)
+                        row = (ident, width, height, pixels.view(np.int32), None)
+                        size += len(pixels)
                     except (WebPError, IndexError) as e:
-                        row = (None, None, None, str(e))
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string())
-            yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], ["image_id", "width", "height", "pixels", "error"])
+                        row = (ident, None, None, None, str(e))
+                rows.append(row)
+                if size >= BATCH_PIXELS:  # a few large images are a batch
+                    yield made(rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(rows)
 
     source = keep_columns(images, "image_id", "webp").select(F.col("image_id").cast("long").alias("image_id"), "webp")
     return source.mapInArrow(run, "image_id long, width int, height int, pixels array<int>, error string")
