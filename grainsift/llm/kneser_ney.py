@@ -40,7 +40,14 @@ SPARE_BITS = 12
 """Keys of pairs have so many bits more than their number needs: one unknown pair in
 2**12 at most is taken for another one."""
 SHARD_DOCS = 8_192
+MAX_BITS = 12
+"""There are at most 2**MAX_BITS shards: with more of them a block's requests to each
+would be single keys. Beyond 33 million documents shards grow instead."""
+FINE_BITS = 3
+"""For scoring each shard is cut into 2**FINE_BITS, so that tasks are even."""
 BLOCK_TOKENS = 500_000
+KEYS_A_ROW = 128
+"""Blocks are so large that each shard gets about so many keys of them."""
 BLOCK_DOCS = 4_096
 _DOC_BITS = 12
 
@@ -80,7 +87,7 @@ class Grid:
     their high bits. A key holds the shard on top."""
 
     def __init__(self, docs: int):
-        self.bits = min(24, max(3, math.ceil(math.log2(max(1, docs) / SHARD_DOCS))))
+        self.bits = min(MAX_BITS, max(3, math.ceil(math.log2(max(1, docs) / SHARD_DOCS))))
         self.a, self.b = (self.bits + 1) // 2, self.bits // 2
 
     def key(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -370,7 +377,14 @@ def estimate(stats: np.ndarray, c: Constants) -> tuple[np.ndarray, np.ndarray, n
     return log_mass, log_p, log_p - math.log(c.unknown) + log_gamma
 
 
-def _settle(c: Constants):
+def _tables(keys: np.ndarray, values: np.ndarray, shift: int, base: int) -> list[tuple[int, int, int, bytes]]:
+    """Ascending keys and their values as tables, by the bits above ``shift``."""
+    shard = (keys >> np.uint64(shift)).astype(np.int64)
+    cuts = _starts(shard)
+    return [(base + int(shard[a]), TABLE, 0, squeeze(_steps(keys[a:b]), values[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _settle(grid: Grid, c: Constants):
     """Kernel over the parts of the words: the table of a part, its hot words, and for
     each shard what its pairs need of their words."""
 
@@ -379,7 +393,8 @@ def _settle(c: Constants):
         part = group.column("part")[0].as_py()
         log_mass, log_p, value = estimate(stats, c)
         hot = stats[0] >= c.hot_word
-        rows = [(WORDS + part, TABLE, 0, squeeze(_steps(words), value.astype(np.float32))), (WORDS + part, HOT, 0, squeeze(_steps(words[hot]), value[hot].astype(np.float32)))]
+        rows = [(WORDS + part, HOT, 0, squeeze(_steps(words[hot]), value[hot].astype(np.float32)))]
+        rows += _tables(words, value.astype(np.float32), BITS - grid.bits - FINE_BITS, WORDS)
         rows += [(shard, OF_WORDS if side else OF_CONTEXTS, part, squeeze((log_p if side else log_mass)[at].astype(np.float32))) for side, shard, at in places]
         return pa.Table.from_batches([_rows(rows)])
 
@@ -400,7 +415,7 @@ def _finish(grid: Grid, c: Constants):
         order = np.argsort(short, kind="stable")
         order = order[_starts(short[order])[:-1]]
         hot = order[counts[order] >= c.hot_pair]
-        return _rows([(shard, TABLE, 0, squeeze(_steps(short[order]), value[order])), (shard, HOT, 0, squeeze(_steps(short[hot]), value[hot]))])
+        return _rows([*_tables(short[order], value[order], c.width - grid.bits - FINE_BITS, 0), (shard, HOT, 0, squeeze(_steps(short[hot]), value[hot]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, data = None, b""
@@ -450,7 +465,7 @@ def train(texts: DataFrame, grid: Grid) -> tuple[DataFrame, Hot]:
     none = np.zeros(6 + _BINS, np.int64)
     found = _added(counts.mapInArrow(_of_pairs, SUMMARY)) | _added(sides.groupBy("part").applyInArrow(_of_words, SUMMARY))
     c = constants(found.get(0, none), found.get(1, none), found.get(2, none), grid)
-    settled = cut(sides.groupBy("part").applyInArrow(_settle(c), ROW))
+    settled = cut(sides.groupBy("part").applyInArrow(_settle(grid, c), ROW))
     kept = settled.where(F.col("kind").isin(TABLE, HOT))
     finished = _routed(counts.unionByName(settled.where(F.col("kind").isin(OF_CONTEXTS, OF_WORDS)))).mapInArrow(_finish(grid, c), ROW)
     model = cut(kept.unionByName(finished))
@@ -500,10 +515,11 @@ def _ask(grid: Grid, hot):
         asked: list[list[np.ndarray]] = [[], [], [], []]
         head: list[pa.RecordBatch] = []
         docs = tokens = 0
+        most = max(BLOCK_TOKENS, KEYS_A_ROW << (grid.bits + FINE_BITS))
 
         def flush() -> pa.RecordBatch:
             words, word_docs, keys, key_docs = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in asked]
-            rows = _requests(words, word_docs, BITS - grid.bits, WORDS, block) + _requests(keys, key_docs, m.width - grid.bits, 0, block)
+            rows = _requests(words, word_docs, BITS - grid.bits - FINE_BITS, WORDS, block) + _requests(keys, key_docs, m.width - grid.bits - FINE_BITS, 0, block)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for h in head:
@@ -517,7 +533,7 @@ def _ask(grid: Grid, hot):
             for i, j in pieces(offsets):
                 for a in range(i, j, BLOCK_DOCS):
                     b = min(j, a + BLOCK_DOCS)
-                    if head and (tokens >= BLOCK_TOKENS or docs + b - a > BLOCK_DOCS):
+                    if head and (tokens >= most or docs + b - a > BLOCK_DOCS):
                         yield flush()
                         block, docs, tokens = block + 1, 0, 0
                     ids, first = tokenize(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])

@@ -61,6 +61,7 @@ def corpus(spark, n=160):
 def test_scores_are_the_models(spark, monkeypatch, hot):
     """Whatever part of the model is hot, and with blocks of a few documents."""
     monkeypatch.setattr(K, "BLOCK_TOKENS", 900)
+    monkeypatch.setattr(K, "KEYS_A_ROW", 1)
     monkeypatch.setattr(K, "HOT_PAIRS", hot[0])
     monkeypatch.setattr(K, "HOT_WORDS", hot[1])
     docs, labels, texts = corpus(spark)
