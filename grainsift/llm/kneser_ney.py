@@ -10,7 +10,7 @@ on packed blocks of keys instead of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,8 +43,6 @@ SHARD_DOCS = 8_192
 MAX_BITS = 12
 """There are at most 2**MAX_BITS shards: with more of them a block's requests to each
 would be single keys. Beyond 33 million documents shards grow instead."""
-FINE_BITS = 3
-"""For scoring each shard is cut into 2**FINE_BITS, so that tasks are even."""
 BLOCK_TOKENS = 500_000
 KEYS_A_ROW = 128
 """Blocks are so large that each shard gets about so many keys of them."""
@@ -394,7 +392,7 @@ def _settle(grid: Grid, c: Constants):
         log_mass, log_p, value = estimate(stats, c)
         hot = stats[0] >= c.hot_word
         rows = [(WORDS + part, HOT, 0, squeeze(_steps(words[hot]), value[hot].astype(np.float32)))]
-        rows += _tables(words, value.astype(np.float32), BITS - grid.bits - FINE_BITS, WORDS)
+        rows += _tables(words, value.astype(np.float32), BITS - grid.bits, WORDS)
         rows += [(shard, OF_WORDS if side else OF_CONTEXTS, part, squeeze((log_p if side else log_mass)[at].astype(np.float32))) for side, shard, at in places]
         return pa.Table.from_batches([_rows(rows)])
 
@@ -415,7 +413,7 @@ def _finish(grid: Grid, c: Constants):
         order = np.argsort(short, kind="stable")
         order = order[_starts(short[order])[:-1]]
         hot = order[counts[order] >= c.hot_pair]
-        return _rows([*_tables(short[order], value[order], c.width - grid.bits - FINE_BITS, 0), (shard, HOT, 0, squeeze(_steps(short[hot]), value[hot]))])
+        return _rows([*_tables(short[order], value[order], c.width - grid.bits, 0), (shard, HOT, 0, squeeze(_steps(short[hot]), value[hot]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, data = None, b""
@@ -448,9 +446,13 @@ class Hot:
     width: int
 
 
-def _routed(df: DataFrame, key: Callable[[], F.Column] | str = "shard") -> DataFrame:
+def _routed(df: DataFrame) -> DataFrame:
+    """Rows to the task of their shard, sorted. Shards are dealt out in turn (words
+    from the other end), so tasks are even; headers go by their block."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, key if isinstance(key, str) else key()).sortWithinPartitions("shard", "kind", "block")
+    shard, block = F.col("shard"), F.col("block")
+    turn = F.when(shard < 0, F.pmod(F.xxhash64(block), F.lit(parts))).when(shard >= WORDS, parts - 1 - F.pmod(shard, F.lit(parts))).otherwise(F.pmod(shard, F.lit(parts)))
+    return df.repartitionById(parts, turn.cast("int")).sortWithinPartitions("shard", "kind", "block")
 
 
 def train(texts: DataFrame, grid: Grid) -> tuple[DataFrame, Hot]:
@@ -515,11 +517,11 @@ def _ask(grid: Grid, hot):
         asked: list[list[np.ndarray]] = [[], [], [], []]
         head: list[pa.RecordBatch] = []
         docs = tokens = 0
-        most = max(BLOCK_TOKENS, KEYS_A_ROW << (grid.bits + FINE_BITS))
+        most = max(BLOCK_TOKENS, KEYS_A_ROW << grid.bits)
 
         def flush() -> pa.RecordBatch:
             words, word_docs, keys, key_docs = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in asked]
-            rows = _requests(words, word_docs, BITS - grid.bits - FINE_BITS, WORDS, block) + _requests(keys, key_docs, m.width - grid.bits - FINE_BITS, 0, block)
+            rows = _requests(words, word_docs, BITS - grid.bits, WORDS, block) + _requests(keys, key_docs, m.width - grid.bits, 0, block)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for h in head:
@@ -625,9 +627,7 @@ def scores(docs: DataFrame, labels: DataFrame, train_share: float = TRAIN_SHARE)
     learn = small(trusted.where("train").select("tid"), trusted.count(), 16)
     model, hot = train(rows.where("text is not null").join(learn, F.col("doc_id") == F.col("tid"), "left_semi").select("text"), grid)
     asked = rows.mapInArrow(_ask(grid, spark.sparkContext.broadcast(hot)), ROW).unionByName(model)
-    # headers aren't for a shard: they go by their block
-    routed = _routed(asked, lambda: F.when(F.col("shard") < 0, -1 - F.col("block")).otherwise(F.col("shard")))
-    return cut(routed.mapInArrow(_answer, ROW).groupBy("block").applyInArrow(_close, SCORE)), trusted
+    return cut(_routed(asked).mapInArrow(_answer, ROW).groupBy("block").applyInArrow(_close, SCORE)), trusted
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, train_share: float = TRAIN_SHARE) -> DataFrame:
