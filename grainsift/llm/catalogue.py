@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_webp_pixels": webp.op6_webp_pixels,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_substring_dedup": automaton.op8_substring_dedup,
+        "reference_substrings": automaton.reference_substrings,
         "op9_line_rules": lines.op9_line_rules,
         "op10_mix_sources": mixing.op10_mix_sources,
     }

@@ -56,8 +56,12 @@ def test_brute_force(spark, span, k):
     got = {r["doc_id"]: r["text"] for r in A.remove_shared(docs, span, k).collect()}
     want = brute(rows, span)
     assert got == want
-    changed = {r["doc_id"]: r["text"] for r in A.remove_shared(docs, span, k, changed_only=True).collect()}
-    assert changed == {i: want[i] for i, t in rows if want[i] != t}
+    changed = A.remove_shared(docs, span, k, changed_only=True).collect()
+    assert {r["doc_id"]: r["text"] for r in changed} == {i: want[i] for i, t in rows if want[i] != t}
+    # with some anchors hot, or all of them: the same, to the number of runs
+    for hot in (6, 0):
+        again = A.remove_shared(docs, span, k, changed_only=True, hot_docs=hot).collect()
+        assert sorted(map(tuple, again)) == sorted(map(tuple, changed))
 
 
 def test_recombined_passages(spark):
@@ -102,5 +106,47 @@ def test_given_reference(spark):
     assert got == {1: "Before. After.", 2: "short", 3: None, 4: "", 5: ""}
     assert A.remove_reference(docs, reference.limit(0)).count() == 5
     assert A.remove_reference(docs.limit(0), reference).count() == 0
-    with pytest.raises(ValueError, match="too large"):
-        A.remove_reference(docs, reference, limit=10)
+    # parts of one automaton each, and rows without an id or twice
+    twice = docs.unionByName(docs).unionByName(docs.selectExpr("cast(null as long) doc_id", "text"))
+    many = A.remove_reference(twice, reference, shard_words=1, limit=1).collect()
+    assert sorted((r["text"] or "", r["doc_id"] or 0) for r in many) == sorted([(t or "", i) for i, t in got.items()] * 2 + [(t or "", 0) for t in got.values()])
+    noted = {r["doc_id"]: r["removed_spans"] for r in A.remove_reference(docs, reference, changed_only=True).collect()}
+    assert noted == {1: 1, 5: 1}  # two passages side by side are one run
+
+
+@pytest.mark.parametrize("span", [6, 50])
+def test_reference_against_brute_force(spark, span):
+    rng = random.Random(span)
+    reference = [prose(rng, rng.randint(0, 4 * span), 3000) for _ in range(30)] + ["", "one"]
+    rows = []
+    for i in range(80):
+        text = prose(rng, rng.randint(0, 100), 3000)
+        for _ in range(rng.choice([0, 1, 2])):
+            part = rng.choice(reference).split(" ")
+            at = rng.randrange(len(part) // 2 + 1)
+            text += " " + " ".join(part[at : at + rng.randint(1, 3 * span)])
+        rows.append((i, text))
+    runs = {tuple(ids[i : i + span]) for ids, _ in map(A._word_ids, reference) for i in range(len(ids) - span + 1)}
+    want = {}
+    for i, text in rows:
+        ids, starts = A._word_ids(text)
+        bad = [False] * len(ids)
+        for k in range(len(ids) - span + 1):
+            if tuple(ids[k : k + span]) in runs:
+                bad[k : k + span] = [True] * span
+        data = text.encode()
+        want[i] = ((data[: starts[0]] if ids else data) + b"".join(data[starts[k] : starts[k + 1]] for k in range(len(ids)) if not bad[k])).decode()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in A.remove_reference(docs, spark.createDataFrame([(t,) for t in reference], "text string"), span, shard_words=150, limit=20_000).collect()}
+    assert got == want
+    assert sum(want[i] != t for i, t in rows) > 20
+
+
+def test_flat_form():
+    rng = random.Random(4)
+    a = A.Automaton()
+    for _ in range(20):
+        a.add([rng.randrange(5) for _ in range(rng.randrange(40))])
+    b = A.Automaton.of(a.flat())
+    assert (a.next, a.link, a.length) == (b.next, b.link, b.length)
+    assert A.Automaton.of(A.Automaton().flat()).next == [{}]

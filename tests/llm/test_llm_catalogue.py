@@ -13,5 +13,6 @@ def test_query_equals_sql(name, spark, sf_dir, duck):
 
 
 def test_ten_queries_and_five_stages():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.queries()) == list(range(1, 11))
+    # operator 8 has a second query, for a given reference
+    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.queries() if n != "reference_substrings") == list(range(1, 11))
     assert len(corpus_pipeline.STAGES) == 5
