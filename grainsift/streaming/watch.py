@@ -11,7 +11,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -79,8 +79,8 @@ def delta_ops(state: DataFrame, changes: DataFrame, contents: DataFrame) -> Data
     same = live & (F.col("mtime") == F.col("m")) & (F.col("size") == F.col("s"))
     rows = rows.where((F.col("kind") == "delete") | ~F.coalesce(same, F.lit(False)))
     top = state.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("top"))
-    fresh = rows.where("doc_id is null").select("path").withColumn("n", F.row_number().over(Window.orderBy("path")))  # new paths of one batch
-    ids = fresh.crossJoin(top).select(F.col("path").alias("np"), (F.col("top") + F.col("n")).alias("new_id"))
+    fresh = dense_ids(rows.where("doc_id is null").select("path"), "path", "n")
+    ids = fresh.crossJoin(F.broadcast(top)).select(F.col("path").alias("np"), (F.col("top") + 1 + F.col("n")).alias("new_id"))  # top is one row
     rows = rows.join(ids, F.col("path") == F.col("np"), "left").withColumn("id", F.coalesce("doc_id", "new_id"))
     empty = F.array().cast("array<long>")
     old = F.when(live, F.col("hashes")).otherwise(empty)
