@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsift.functions.kernels import BASE, BASE_INVERSE, mix, power, span_hashes
+from grainsift.functions.lineage import checkpoint_folder
+from grainsift.functions.lineage import cut as checkpointed
 from grainsift.functions.ship import ship
 
 BROADCAST_BYTES = 48 << 20
 """A side is broadcast only while rows x row width stays below this."""
 
 BATCH_ROWS = 512
+BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,20 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Rows are whole documents, so Arrow batches stay short; a checkpoint folder
-    is set only where the cluster names none (as in tests)."""
+    """The package goes to the workers, and a checkpoint folder is seen to. Rows are
+    whole documents, so Arrow batches get short, unless the session has a length of
+    its own for them."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="grainsift-ck-"))
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    checkpoint_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
 
 
 def small(df: DataFrame, rows: int, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:

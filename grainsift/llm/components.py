@@ -30,12 +30,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written first, so that the join below shuffles both sides anew and adaptive
+        # execution can split the edges of a hub
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # large star: the neighbours above u point at u's least neighbour
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: u and its lower neighbours point at the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         lower = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut(lower.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         after = _state(links)

@@ -101,6 +101,8 @@ class Scale:
 
 def scales(sizes: list[int], rows: int, containment: float, recall: float) -> list[Scale]:
     """Sizes in steps of a quarter, those of the templates only."""
+    if not (0 < containment <= 1 and 0 < recall < 1 and rows >= 1):
+        raise ValueError("containment lies in (0, 1], recall between 0 and 1, and a band has a row")
     spans: list[list[int]] = []
     for high in sorted(set(sizes)):
         if spans and high <= 1.25 * (spans[-1][0] + 1):
@@ -236,7 +238,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, rows
     each. Null and empty texts and those of under three words hold nothing, nor do
     such templates. Repeated rows give repeated results, null ids stay null; an
     occurrence that several windows hold is one row (ties: the first window).
-    An empty table gives none.
+    An empty table gives none. ValueError for a containment or a recall that isn't
+    a share.
     """
     prepare(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates

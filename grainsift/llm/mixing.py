@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainsift.llm._common import renamed, small, table, token_count
+from grainsift.llm._common import cut, renamed, small, table, token_count
 
 MAX_EPOCHS = 1.5
 """No source is repeated more often than this."""
@@ -23,6 +23,10 @@ class Weights:
     exponent: float
     weights: list[float]
     budget: int
+    entropy_share: float = 1.0
+    """Of the greatest possible entropy, what the weights reach."""
+    epochs: float = 0.0
+    """How often the most repeated source is taken."""
 
 
 def _mixture(tokens: list[int], exponent: float) -> list[float]:
@@ -49,7 +53,9 @@ def part(weight: float, budget: int) -> int:
 def solve(tokens: list[int], entropy_share: float | None = ENTROPY_SHARE, max_epochs: float | None = MAX_EPOCHS, budget: int | None = None) -> Weights:
     """Bisects the exponent in [0, 1]: the largest whose mixture reaches the entropy
     target, raised as far as the repetition limit asks. At 1 weights are the sources'
-    own shares, at 0 all are equal. Without tokens all weights are 0."""
+    own shares, at 0 all are equal. Without tokens all weights are 0. The repetition
+    limit comes before the entropy target: what was reached of either is in the
+    result. ValueError for a budget that no weights can spend within the limit."""
     if not sum(tokens):
         return Weights(1.0, [0.0] * len(tokens), 0)
     some = sum(t > 0 for t in tokens)
@@ -62,6 +68,8 @@ def solve(tokens: list[int], entropy_share: float | None = ENTROPY_SHARE, max_ep
         b = _budget(tokens, w, budget)
         return max_epochs is None or max(v * b / t for v, t in zip(w, tokens, strict=True) if t) <= max_epochs
 
+    if budget is not None and max_epochs is not None and budget > max_epochs * sum(tokens) * (1 + 1e-12):
+        raise ValueError(f"{budget} tokens can't be drawn from {sum(tokens)} with at most {max_epochs} epochs of a source")
     low, high = 0.0, 1.0
     if enough(1.0):
         low = 1.0
@@ -77,7 +85,9 @@ def solve(tokens: list[int], entropy_share: float | None = ENTROPY_SHARE, max_ep
             low, high = (low, mid) if within(mid) else (mid, high)
         exponent = high
     weights = _mixture(tokens, exponent)
-    return Weights(exponent, weights, math.ceil(_budget(tokens, weights, budget) * (1 - 1e-12) - 1e-6))
+    whole = math.ceil(_budget(tokens, weights, budget) * (1 - 1e-12) - 1e-6)
+    reached = entropy(weights) / math.log(some) if some > 1 else 1.0
+    return Weights(exponent, weights, whole, reached, max(w * _budget(tokens, weights, budget) / t for w, t in zip(weights, tokens, strict=True) if t))
 
 
 def mix_sources(
@@ -95,7 +105,9 @@ def mix_sources(
 
     A null source is a source of its own. A null text has no tokens; documents
     without tokens cost nothing and come along. Rows with equal ids (null ones
-    too) share their keys: they are in or out together. Where the largest group
+    too) share their keys: they are in or out together. Sources are rows on the
+    driver while weights are solved: domains in their millions are fine, ids are not.
+    A budget beyond the repetition limit is a ValueError. Where the largest group
     of a part epoch doesn't fit, the epoch ends before it. A source without
     tokens is taken once. An empty table stays empty.
     """
@@ -109,7 +121,7 @@ def mix_sources(
 
     # the part epoch has the number -1 here, so its blocks need no second scan
     in_part = key(-1)
-    blocks = inner.groupBy(source.alias("s"), F.substring(in_part, 1, _BLOCK_DIGITS).alias("b")).agg(F.sum(tokens).alias("t"))
+    blocks = cut(inner.groupBy(source.alias("s"), F.substring(in_part, 1, _BLOCK_DIGITS).alias("b")).agg(F.sum(tokens).alias("t")))
     running = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = blocks.groupBy("s").agg(F.sum("t").alias("total")).orderBy("s").collect()
     found = solve([r["total"] for r in totals], entropy_share, max_epochs, budget)

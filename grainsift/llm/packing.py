@@ -32,8 +32,10 @@ class Capacity:
 
     @property
     def piece(self) -> int:
-        """The longest piece that an empty bin can hold."""
-        return min(self.tokens, math.isqrt(self.attention))
+        """The longest piece beside which a second one can fill the bin; where no bin of
+        two can be full, the longest one that an empty bin holds."""
+        spare = 2 * self.attention - self.tokens * self.tokens
+        return min(self.tokens, (self.tokens + math.isqrt(spare)) // 2 if spare >= 0 else math.isqrt(self.attention))
 
 
 SHARD_DOCS = 20_000
@@ -81,7 +83,7 @@ def pack(docs: DataFrame, capacity: Capacity = Capacity(), shard_docs: int = SHA
     """``(doc_id, copy, piece, start, tokens, bin_id)``: every document's tokens in
     bins, under all three capacities.
 
-    A document longer than a bin can hold is cut into pieces, in order: full ones
+    A document longer than the longest piece is cut into pieces, in order: full ones
     and a rest; ``start`` is the first token of a piece. Tokens are words between
     blanks. Documents are spread over shards by hash and packed within, each shard's
     bins being its own, so a task holds ``shard_docs`` rows of two numbers at every
@@ -114,7 +116,9 @@ def pack(docs: DataFrame, capacity: Capacity = Capacity(), shard_docs: int = SHA
         out = [ids.take(pa.array(row)), pa.array(copies[row]), pa.array(piece), pa.array(start), pa.array(size), pa.array(bins, mask=~packed)]
         return pa.table(dict(zip(("doc_id", "copy", "piece", "start", "tokens", "bin_id"), out, strict=True)))
 
-    return sized.groupBy("shard").applyInArrow(run, "doc_id long, copy long, piece long, start long, tokens long, bin_id long")
+    # an explicit number of tasks: the rows are few bytes, and adaptive execution would put all shards in a task or two
+    parts = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sized.repartition(parts, "shard").groupBy("shard").applyInArrow(run, "doc_id long, copy long, piece long, start long, tokens long, bin_id long")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

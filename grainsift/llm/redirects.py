@@ -24,8 +24,8 @@ SLASHES = r"/+$"
 CANONICAL = r"(?i)<link [^>]*rel=[\"']?canonical[\"']?[^>]* href=[\"']([^\"']+)[\"']"
 REFRESH = r"(?i)<meta [^>]*http-equiv=[\"']?refresh[\"']?[^>]* content=[\"'][0-9]+; ?url=([^\"']+)[\"']"
 
-# a comment, a script or a whole tag: ">" may stand in quotes
-MARKUP = r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>|<(?:link|meta)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+# a comment, a script or a whole tag: ">" may stand in quotes; possessive, as loops over alternatives would recurse on long tags
+MARKUP = r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>|<(?:link|meta)(?=[\s/])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 TARGET = r"(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\"'].*))"
 
 
@@ -37,8 +37,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """The first attribute of that name, in any quoting; empty if there is none."""
     # attributes before it are read whole, so that a name inside a value isn't taken for one
-    other = r"(?:\s|/)+(?!" + name + r"[\s=/>])[^\s=/>\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?"
-    found = rf"(?is)^<[a-z]+(?:{other})*(?:\s|/)+{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+    other = r"[\s/]+(?!" + name + r"[\s=/>])[^\s=/>\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?"
+    found = rf"(?is)^<[a-z]+(?:{other})*+[\s/]+{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
     return F.trim(F.replace(F.concat(*[F.regexp_extract(tag, found, i) for i in (1, 2, 3)]), F.lit("&amp;"), F.lit("&")))
 
 
@@ -104,6 +104,22 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return own.unionByName(edges).where("u <> v").distinct()
 
 
+STATUS = r"^HTTP/[0-9.]+ +3[0-9][0-9]"
+LOCATION = r"(?im)^location:[ \t]*([^\r\n]*?)[ \t]*$"
+
+
+def response_edges(responses: DataFrame) -> DataFrame:
+    """``(u, v)`` from HTTP redirects in ``responses(target_uri, http_headers)``, such as
+    WARC files hold: of status 3xx, from the address to the ``Location``, relative
+    ones resolved; both in normal form, the address to its own normal form too.
+    Nulls, other statuses, empty targets and loops give none."""
+    src = keep_columns(responses, "target_uri", "http_headers").where("target_uri is not null and target_uri <> ''").withColumn("n", normal_url(F.col("target_uri")))
+    own = src.select(F.col("target_uri").alias("u"), F.col("n").alias("v"))
+    moved = src.where(F.col("http_headers").rlike(STATUS)).select("target_uri", "n", F.regexp_extract("http_headers", LOCATION, 1).alias("link")).where("link <> ''")
+    edges = moved.select(F.col("n").alias("u"), _let(resolve(F.col("target_uri"), F.col("link")), normal_url).alias("v")).where("v rlike '^https://'")
+    return own.unionByName(edges).where("u <> v").distinct()
+
+
 def _any(column: Column, tests: list[Column]) -> Column:
     out = F.lit(False)
     for t in tests:
@@ -139,7 +155,7 @@ def decide(pages: DataFrame, edges: DataFrame | None = None, hosts: tuple[str, .
     own = inner.where(url.isNotNull() & (url != "")).select(url.alias("u"), url.alias("v"))
     groups = connected_components(edges.unionByName(own))
     marked = cut(listed(groups.select("node"), hosts, prefixes).join(groups, "node"))
-    bad = marked.where("blocked").select("component").distinct().withColumn("bad", F.lit(True))
+    bad = cut(marked.where("blocked").select("component").distinct().withColumn("bad", F.lit(True)))  # so that a giant component's rows can be split in the join
     found = marked.join(bad, "component", "left").select("node", "component", F.when(F.col("allowed"), "allow").when(F.col("bad"), "block").otherwise("none").alias("decision"))
     out = inner.join(found, url == F.col("node"), "left").select(*inner.columns, "component", F.coalesce("decision", F.lit("none")).alias("decision"))
     return out.toDF(*pages.columns, "component", "decision")

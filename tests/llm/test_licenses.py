@@ -37,8 +37,9 @@ def test_bands_keep_their_promise():
     for s in L.Library(L.TEMPLATES).scales:
         assert L.collision(s.least_similarity(L.CONTAINMENT), L.ROWS, s.bands) >= L.RECALL
         assert s.blocks * s.step >= s.high + s.step  # an occurrence is whole in a window
-    with pytest.raises(ZeroDivisionError):
-        L.scales([5], 2, 0.0, 0.99)
+    for wrong in ((2, 0.0, 0.99), (2, 1.1, 0.99), (2, 0.8, 1.0), (0, 0.8, 0.99)):
+        with pytest.raises(ValueError, match="containment lies"):
+            L.scales([5], *wrong)
 
 
 def test_place(spark):

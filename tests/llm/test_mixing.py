@@ -90,3 +90,12 @@ def test_awkward(spark):
     assert mix_sources(empty(spark)).count() == 0
     blank = docs.where("doc_id in (100, 102)")
     assert mix_sources(blank).count() == 2
+
+
+def test_what_cannot_be_reached_is_told():
+    with pytest.raises(ValueError, match="at most 1.0 epochs"):
+        solve([10, 1000, 5], 0.98, 1.0, 5000)
+    found = solve([10, 1000, 5], 0.98, 1.5)
+    assert found.entropy_share < 0.98 and found.epochs <= 1.5 + 1e-6  # the limit comes first
+    free = solve([10, 1000, 5], 0.98, None)
+    assert free.entropy_share >= 0.98 and free.epochs > 1.5

@@ -79,3 +79,12 @@ def test_bad_capacities():
         Capacity(0)
     with pytest.raises(ValueError):
         Capacity(rule="first")
+
+
+def test_the_longest_piece_leaves_a_bin_that_can_be_full():
+    c = Capacity()
+    p = c.piece
+    assert p * p + (c.tokens - p) ** 2 <= c.attention < (p + 2) ** 2 + (c.tokens - p - 2) ** 2
+    assert Capacity(attention=4096 * 4096).piece == 4096
+    assert Capacity(tokens=100, attention=400).piece == 20  # no two pieces fill it
+    assert len(set(best_fit(np.array([p, c.tokens - p]), c).tolist())) == 1

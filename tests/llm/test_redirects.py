@@ -103,3 +103,37 @@ def test_empty(spark):
     assert R.decide(pages).count() == 0
     given = R.decide(spark.createDataFrame([("x",)], "url string"), spark.createDataFrame([("x", "https://spam-farm.example.org/"), (None, "x")], "u string, v string"))
     assert given.first()["decision"] == "block"
+
+
+def test_http_redirects(spark):
+    rows = [
+        ("http://www.a.example/x", "HTTP/1.1 301 Moved Permanently\r\nLocation: https://b.example/y/\r\nServer: s"), ("https://b.example/y", "HTTP/2 302\r\nlocation: ../z?q=1  "), ("https://c.example/", "HTTP/1.1 200 OK\r\nLocation: /never"),
+        ("https://d.example/", "HTTP/1.1 308 Permanent Redirect\r\nX-Location: /no"), ("https://e.example/loop", "HTTP/1.0 307 Temporary\r\nLocation: /loop"), ("https://f.example/", None), (None, "HTTP/1.1 301 M\r\nLocation: /x"), ("", "HTTP/1.1 301 M\r\nLocation: /x"),
+        ("https://b.example/y", "HTTP/2 302\r\nlocation: ../z?q=1  "),
+    ]
+    responses = spark.createDataFrame([(*r, "h") for r in rows], "target_uri string, http_headers string, HTTP_HEADERS string")
+    edges = R.response_edges(responses)
+    got = {tuple(r) for r in edges.collect()}
+    assert {("http://www.a.example/x", "https://a.example/x"), ("https://a.example/x", "https://b.example/y"), ("https://b.example/y", "https://b.example/z?q=1")} <= got
+    assert not {u for u, v in got if "never" in v or "no" == v[-2:]}
+    assert ("https://e.example/loop", "https://e.example/loop") not in got
+    pages = spark.createDataFrame([(u,) for u, _ in rows], "url string")
+    found = {r["url"]: r["decision"] for r in R.decide(pages, edges, hosts=("b.example",), prefixes=()).collect()}
+    assert found["http://www.a.example/x"] == found["https://b.example/y"] == "block" and found["https://c.example/"] == "none"
+    assert R.response_edges(responses.limit(0)).count() == 0
+
+
+def test_very_long_pages(spark):
+    filler = "<p>" + "text &amp; more " * 200_000 + "</p>"
+    html = f"<html><head><title>t</title></head><body>{filler}<link rel=canonical href=/far></body></html>"
+    pages = spark.createDataFrame([("https://long.example/a", html), ("https://long.example/" + "p/" * 5000, "<b" * 300_000), ("https://long.example/q", "<link " + "a='b' " * 3000 + "rel=canonical href=/near>")], "url string, html string")
+    got = {tuple(r) for r in R.link_edges(pages).collect()}
+    assert ("https://long.example/a", "https://long.example/far") in got and ("https://long.example/q", "https://long.example/near") in got
+
+
+def test_a_hub_with_a_third_of_all_pages(spark):
+    rows = [(f"https://site{i}.example/", "https://hub.example/") for i in range(3000)] + [("https://hub.example/", "https://spam-farm.example.org/")]
+    edges = spark.createDataFrame(rows, "u string, v string")
+    pages = edges.select(F.col("u").alias("url"))
+    found = R.decide(pages, edges)
+    assert found.count() == 3001 and found.where("decision <> 'block'").count() == 0
