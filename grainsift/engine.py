@@ -11,8 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainsift.functions.lineage import cut
+from grainsift.operators.numbering import dense_ids
 from grainsift.operators.postings import candidates, forward_predicate
-from grainsift.operators.verify import capped_rows, display_path, regex_hits, verify_contents
+from grainsift.operators.verify import capped_rows, display_path, indexable, regex_hits, verify_contents
 from grainsift.plans.regex import Regex, compile_regex
 from grainsift.sources.files import read_paths, read_tree
 from grainsift.sources.index import DOCS_PER_SHARD, Index, has_index, index_path, open_index, write_index
@@ -75,12 +77,34 @@ class Engine:
         self.spark, self.home = spark, home
         self._open: dict[str, Index] = {}
 
-    def index(self, root: str, docs_per_shard: int = DOCS_PER_SHARD, ignore_rules: bool = True) -> Index:
+    def index(self, root: str, docs_per_shard: int = DOCS_PER_SHARD, ignore_rules: bool = True, target_bytes: int | None = None) -> Index:
         path = index_path(self.home, root)
-        write_index(read_tree(self.spark, root, ignore_rules), path, "content", docs_per_shard, {"root": root})
+        write_index(read_tree(self.spark, root, ignore_rules), path, "content", docs_per_shard, {"root": root}, target_bytes=target_bytes)
         self._open.pop(path, None)
         return self.open(root)
 
+    def rebuild(self, root: str, paths: DataFrame) -> tuple[DataFrame, int]:
+        """A new version of the base index of these files as they are now; those that
+        can't be read or indexed are left out. Returns its documents and number."""
+        path, old = index_path(self.home, root), self.open(root).manifest
+        files = cut(read_paths(paths).where(F.col("error").isNull() & indexable(F.col("content"))).select("path", "content", "mtime", "size"))
+        docs = files.join(dense_ids(files.select("path"), "path"), "path").select("doc_id", "path", "content", "mtime", "size")
+        version = write_index(docs, path, "content", old["docs_per_shard"], {"root": root}, target_bytes=old.get("target_bytes"))
+        self._open.pop(path, None)
+        return self.open(root).docs, version
+
+    def watched(self, root: str) -> WatchStore:
+        """The store of a root, with a snapshot: of the base index if there was none."""
+        store, index = self.store(root), self.open(root) if self.has_index(root) else self.index(root)
+        if store.current() is None:
+            store.bootstrap(index.docs, index=index.version)
+        return store
+
+    def compact(self, root: str, upto: int | None = None) -> DataFrame:
+        """Folds what the watch store gathered back into a rebuilt base index."""
+        store = self.store(root)
+        return store.compact(store.last_batch() if upto is None else upto, lambda paths: self.rebuild(root, paths))
+
     def open(self, root: str) -> Index:
         path = index_path(self.home, root)
         if path not in self._open:
@@ -94,20 +118,25 @@ class Engine:
         return WatchStore(self.spark, index_path(self.home, root) + "/watch")
 
     def query(self, root: str, pattern: str, limit_docs: int | None = None) -> Result:
-        """An invalid pattern fails before the index is looked for. A watch snapshot,
-        if there is one, takes the place of the base index. Contents are read anew,
+        """An invalid pattern fails before the index is looked for. Documents changed
+        since the watch snapshot are tested by their own tokens; the others come from
+        the base index, if the snapshot is of its version. Contents are read anew,
         so hits are those of the files as they are; what can't be read is an error."""
         began = time.time()
         regex = compile_regex(pattern)
         index = self.open(root)
-        state = self.store(root).current()
+        store = self.store(root)
+        changed, follows = store.changed(), store.base() == index.version
+        state = store.current(changed if follows else None)
         opened = time.time()
-        if state is not None:
-            docs = live_docs(state)
-            found, backend = docs.where(forward_predicate(F.col("hashes"), regex.plan)).select("doc_id", "path"), "watch"
-        else:
-            docs = index.docs
-            found, backend = (docs if regex.plan.kind == "all" else only(docs, candidates(index.postings, regex.plan, docs))).select("doc_id", "path"), "index"
+        found, backend = None, "watch"
+        if state is None or follows:
+            docs = index.docs if changed is None else index.docs.join(changed, "doc_id", "left_anti")
+            found = (docs if regex.plan.kind == "all" else only(docs, candidates(index.postings, regex.plan, index.docs))).select("doc_id", "path")
+            backend = "index" if changed is None else "index and watch"
+        if state is not None and (changed is not None or not follows):
+            live = live_docs(state).where(forward_predicate(F.col("hashes"), regex.plan)).select("doc_id", "path")
+            found = live if found is None else found.unionByName(live)
         listed = time.time()
         if limit_docs is not None:
             found = found.orderBy("doc_id").limit(limit_docs)

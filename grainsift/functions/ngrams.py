@@ -168,16 +168,17 @@ def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fnv:
     """``(doc_id, hash)``, different ones only: found per text inside the kernel, so
     nothing has to be shuffled to remove repeats."""
     ship(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # rows are whole texts
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).where(F.col(text_col).isNotNull())
     return source.mapInArrow(_kernel(fnv, False, False), "doc_id long, hash long")
 
 
-def partial_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 1 << 62) -> DataFrame:
+def partial_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 1 << 62, bases: list[int] | None = None) -> DataFrame:
     """``(hash, shard_id, doc_ids)``: posting lists of a batch of texts each, grouped
-    in the kernel, so that fewer and shorter rows are shuffled than pairs."""
+    in the kernel, so that fewer and shorter rows are shuffled than pairs. Shards
+    are of so many documents, or begin at ``bases``."""
     ship(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+    starts_at = np.array(bases or [0], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +189,7 @@ def partial_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 starts, ends = spans(own, at, MAX_BYTES)
                 h = span_hashes(own, starts, ends).view(np.int64)
                 doc = ids[i:j][np.searchsorted(at, starts, "right") - 1]
-                shard = doc // docs_per_shard
+                shard = doc // docs_per_shard if bases is None else np.searchsorted(starts_at, doc, "right") - 1
                 order = np.lexsort((doc, h, shard))
                 h, doc, shard = h[order], doc[order], shard[order]
                 group = np.ones(len(h), bool)

@@ -27,13 +27,13 @@ def postings(pairs: DataFrame, docs_per_shard: int | None = None) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
 
 
-def text_postings(docs: DataFrame, docs_per_shard: int, text_col: str = "text") -> DataFrame:
+def text_postings(docs: DataFrame, docs_per_shard: int, text_col: str = "text", bases: list[int] | None = None) -> DataFrame:
     """``(hash, shard_id, doc_ids)`` of texts: lists are grouped batch by batch before
     the one shuffle and joined after it. Rows come sorted by hash within ranges of
     hashes (their high bits, which are uniform, so no sampling is needed); there are
     the more ranges the more documents, so a range's size doesn't grow."""
     bits = max(8, (docs.count() // DOCS_PER_RANGE).bit_length())
-    parts = partial_postings(docs, "doc_id", text_col, docs_per_shard).withColumn("range", F.shiftright("hash", 64 - bits))
+    parts = partial_postings(docs, "doc_id", text_col, docs_per_shard, bases).withColumn("range", F.shiftright("hash", 64 - bits))
     joined = F.flatten(F.collect_list("doc_ids"))
     lists = parts.repartition("range").groupBy("range", "hash", "shard_id").agg(joined.alias("ids"))
     # one text's repeats are gone; rows of one id may still repeat
@@ -41,6 +41,18 @@ def text_postings(docs: DataFrame, docs_per_shard: int, text_col: str = "text")
     return lists.sortWithinPartitions("hash", "shard_id").select("hash", "shard_id", ids.alias("doc_ids"))
 
 
+def forward_postings(forward: DataFrame, docs_per_shard: int | None = None) -> DataFrame:
+    """The lists of documents that are given with their tokens, ``(doc_id, hashes)``."""
+    return postings(forward.select("doc_id", F.explode("hashes").alias("hash")), docs_per_shard)
+
+
+def payload_sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(doc_id, bytes)``: what each document adds to the payload of the lists, at two
+    bytes a token (gaps take one to five)."""
+    tokens = partial_postings(docs, "doc_id", text_col).select(F.explode("doc_ids").alias("doc_id"))
+    return tokens.groupBy("doc_id").agg((F.count("*") * 2).alias("bytes"))
+
+
 def document_frequency(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("hash").agg(F.count_distinct("doc_id").alias("df"))
 

@@ -164,6 +164,7 @@ def capped_rows(hits: DataFrame, max_rows: int, key: str = "doc_id") -> DataFram
     Documents are taken in order of ``key``: the top rows come from a limited sort
     (no global window), headers are added and the limit is taken again.
     """
-    heads = hits.select(key).distinct().orderBy(key).limit(max_rows).select(key, F.lit(0).cast("long").alias("line_no"), F.lit("header").alias("kind"), F.lit(None).cast("string").alias("line"))
-    body = hits.select(key, "line_no", F.lit("hit").alias("kind"), "line").orderBy(key, "line_no").limit(max_rows)
+    more = [c for c in hits.columns if c not in (key, "line_no", "line")]
+    heads = hits.select(key, *more).distinct().orderBy(key).limit(max_rows).select(key, F.lit(0).cast("long").alias("line_no"), F.lit("header").alias("kind"), F.lit(None).cast("string").alias("line"), *more)
+    body = hits.select(key, "line_no", F.lit("hit").alias("kind"), "line", *more).orderBy(key, "line_no").limit(max_rows)
     return heads.unionByName(body).orderBy(key, "line_no").limit(max_rows)

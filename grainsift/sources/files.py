@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from grainsift.functions.ship import ship
 from grainsift.operators.numbering import dense_ids
-from grainsift.operators.verify import indexable
+from grainsift.operators.verify import MAX_BYTES, indexable
 
 IGNORE_FILES = (".gitignore", ".ignore")
 
@@ -28,7 +28,7 @@ def _rules(folder: str) -> list[tuple[str, bool, bool, bool]]:
         except OSError:
             continue
         for line in lines:
-            line = line.rstrip()
+            line = line.rstrip() if not line.rstrip().endswith("\\") else line.rstrip() + " "  # an escaped blank stays
             if not line or line.startswith("#"):
                 continue
             negated = line.startswith("!")
@@ -40,10 +40,27 @@ def _rules(folder: str) -> list[tuple[str, bool, bool, bool]]:
 
 
 def _matches(pattern: str, rel: str, anchored: bool) -> bool:
-    if not anchored:
-        return fnmatch.fnmatchcase(rel.rsplit("/", 1)[-1], pattern)
-    expr = "".join("(?:.*/)?" if p == "**/" else ".*" if p == "**" else "[^/]*" if p == "*" else "[^/]" if p == "?" else re.escape(p) for p in re.split(r"(\*\*/|\*\*|\*|\?)", pattern))
-    return re.fullmatch(expr, rel) is not None
+    return re.fullmatch(_expression(pattern), rel if anchored else rel.rsplit("/", 1)[-1], re.S) is not None
+
+
+@lru_cache(4096)
+def _expression(pattern: str) -> str:
+    """A glob of ignore files: ``**`` over folders, ``*`` and ``?`` within one, classes
+    in brackets, a backslash before what stands for itself."""
+    out = []
+    for p in re.split(r"(\*\*/|\*\*|\*|\?|\\.|\[[!^]?\]?[^\]]*\])", pattern):
+        if p in ("**/", "**", "*", "?"):
+            out.append({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}[p])
+        elif len(p) == 2 and p[0] == "\\":
+            out.append(re.escape(p[1]))
+        elif len(p) > 2 and p[0] == "[" and p[-1] == "]":
+            inner = p[1:-1]
+            negated = inner[0] in "!^"
+            inner = inner[negated:].replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]")
+            out.append(f"(?!/)[{'^' if negated else ''}{inner}]")
+        else:
+            out.append(re.escape(p))
+    return "".join(out)
 
 
 def crawl(root: str, ignore_rules: bool = True) -> list[str]:
@@ -76,12 +93,14 @@ def crawl(root: str, ignore_rules: bool = True) -> list[str]:
     return sorted(found, key=os.fsencode)
 
 
+TOO_LARGE = "larger than 2 GiB"
 CONTENT = "path string, content binary, mtime long, size long, error string"
 
 
 def read_paths(paths: DataFrame) -> DataFrame:
     """``(path, content, mtime, size, error)``, read on the executors (the paths must
-    be reachable from them); a missing file has an error instead of content."""
+    be reachable from them); a file that is missing or larger than 2 GiB has an error
+    instead of content."""
     ship(paths.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +108,13 @@ def read_paths(paths: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 content = mtime = size = error = None
                 try:
-                    with open(path, "rb") as f:
-                        content = f.read()
                     stat = os.stat(path)
                     mtime, size = stat.st_mtime_ns, stat.st_size
+                    if size >= MAX_BYTES:  # a cell holds no more; never read
+                        error = TOO_LARGE
+                    else:
+                        with open(path, "rb") as f:
+                            content = f.read()
                 except OSError as e:
                     error = f"{type(e).__name__}: {e.strerror}"
                 kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string())
@@ -108,7 +130,7 @@ def read_tree(spark: SparkSession, root: str, ignore_rules: bool = True, files_p
     listed = spark.createDataFrame([(i, p) for i, p in enumerate(names)], "n long, path string")
     listed = listed.repartitionByRange(max(1, len(names) // files_per_task), "n")
     files = read_paths(listed.select("path"))
-    files = files.withColumn("content", F.when(F.col("error").isNull(), F.col("content")).otherwise(F.raise_error(F.concat("path", F.lit(": "), "error")).cast("binary")))
+    files = files.where(~F.col("error").eqNullSafe(TOO_LARGE)).withColumn("content", F.when(F.col("error").isNull(), F.col("content")).otherwise(F.raise_error(F.concat("path", F.lit(": "), "error")).cast("binary")))
     kept = files.where(indexable(F.col("content")))
     # ids are dense over the files that stay
     numbered = dense_ids(kept.select(F.col("path").alias("numbered")), "numbered")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsift.functions.ngrams import fnv1a64_hex
-from grainsift.operators.postings import text_postings
+from grainsift.operators.postings import payload_sizes, shard_plan, text_postings
 
 FORMAT_VERSION = 1
 DOCS_PER_SHARD = 100_000
@@ -64,6 +64,10 @@ class Files:
         array[0] = options.OVERWRITE
         context.rename(self.jvm.org.apache.hadoop.fs.Path(aside), p, array)
 
+    def make(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.mkdirs(p)
+
     def remove(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
@@ -91,13 +95,15 @@ def current_version(spark: SparkSession, path: str) -> int | None:
     return int(files.read(f"{path}/CURRENT")) if files.exists(f"{path}/CURRENT") else None
 
 
-def write_index(docs: DataFrame, path: str, text_col: str = "content", docs_per_shard: int = DOCS_PER_SHARD, extra: dict | None = None, keep_text: bool = False) -> int:
+def write_index(docs: DataFrame, path: str, text_col: str = "content", docs_per_shard: int = DOCS_PER_SHARD, extra: dict | None = None, keep_text: bool = False, target_bytes: int | None = None) -> int:
     """Writes a new version and makes it current; returns its number.
 
     Lists are sorted by hash within each file, so that a query's hashes prune row
     groups, and hold one range of documents each. With ``keep_text`` documents are
     stored with their texts, in order of id and in small row groups, so that the ids
-    of candidates prune them.
+    of candidates prune them. With ``target_bytes`` shards hold so many bytes of
+    lists instead of ``docs_per_shard`` documents (one document at least): documents
+    are measured first, in a pass of their own.
     """
     spark = docs.sparkSession
     files = Files(spark)
@@ -109,15 +115,24 @@ def write_index(docs: DataFrame, path: str, text_col: str = "content", docs_per_
         stored.option("parquet.page.size.row.check.min", "10").option("parquet.block.size.row.check.min", "10").parquet(f"{target}/docs")
     else:
         docs.drop(text_col).write.parquet(f"{target}/docs")
-    lists = text_postings(docs, docs_per_shard, text_col)
+    bases = None
+    if target_bytes:
+        bases = [r["doc_base"] for r in shard_plan(payload_sizes(docs, text_col), target_bytes).orderBy("shard_id").select("doc_base").collect()] or [0]
+    lists = text_postings(docs, docs_per_shard, text_col, bases)
     lists.write.option("parquet.block.size", str(4 << 20)).parquet(f"{target}/postings")
     saved = spark.read.parquet(f"{target}/docs")
-    counts = saved.groupBy(F.floor(F.col("doc_id") / docs_per_shard).alias("shard_id")).agg(F.count("*").alias("n")).orderBy("shard_id").collect()
+    if bases is None:
+        shard = F.floor(F.col("doc_id") / docs_per_shard)
+    else:
+        edges = spark.createDataFrame([(i, b, e) for i, (b, e) in enumerate(zip(bases, [*bases[1:], 1 << 62], strict=True))], "s long, b long, e long")
+        shard = F.col("s")
+        saved = saved.join(F.broadcast(edges), (F.col("doc_id") >= F.col("b")) & (F.col("doc_id") < F.col("e")))  # a row for each shard
+    counts = saved.groupBy(shard.alias("shard_id")).agg(F.count("*").alias("n")).orderBy("shard_id").collect()
     shards, base = [], 0
     for r in counts:
         shards.append({"shard_id": len(shards), "doc_base": base, "doc_count": r["n"]})
         base += r["n"]
-    manifest = {"format_version": FORMAT_VERSION, "doc_count": base, "docs_per_shard": docs_per_shard, "shards": shards} | (extra or {})
+    manifest = {"format_version": FORMAT_VERSION, "doc_count": base, "docs_per_shard": docs_per_shard, "target_bytes": target_bytes, "shards": shards} | (extra or {})
     files.write(f"{target}/manifest.json", json.dumps(manifest, sort_keys=True))
     files.replace(f"{path}/CURRENT", str(version))
     return version

@@ -170,28 +170,54 @@ class WatchStore:
     def unlock(self) -> None:
         self.files.remove(f"{self.path}/LOCK")
 
-    def checkpoint(self, state: DataFrame, upto: int) -> None:
-        """Writes a new snapshot that holds the batches up to ``upto``."""
+    def checkpoint(self, state: DataFrame, upto: int, index: int | None = None) -> None:
+        """Writes a new snapshot that holds the batches up to ``upto``; ``index`` is the
+        version of the base index with the same documents, if there is one."""
         old = self._pointer()
         version = old["version"] + 1 if old else 0
         state.write.mode("overwrite").parquet(f"{self.path}/snapshots/v={version}")
-        self.files.replace(f"{self.path}/SNAPSHOT", json.dumps({"version": version, "batch": upto}))
+        self.files.replace(f"{self.path}/SNAPSHOT", json.dumps({"version": version, "batch": upto, "index": index}))
 
-    def bootstrap(self, docs: DataFrame) -> None:
+    def base(self) -> int | None:
+        """The version of the base index that the snapshot belongs to."""
+        at = self._pointer()
+        return at.get("index") if at else None
+
+    def last_batch(self) -> int:
+        """The number of the last batch that was applied, -1 before the first."""
+        at = self._pointer()
+        last = at["batch"] if at else -1
+        if self.files.exists(f"{self.path}/delta"):
+            newest = self.spark.read.schema(DELTA).parquet(f"{self.path}/delta").agg(F.max("batch")).first()[0]
+            last = last if newest is None else max(last, newest)
+        return last
+
+    def bootstrap(self, docs: DataFrame, upto: int = -1, index: int | None = None) -> None:
         """A snapshot from ``docs(doc_id, path)``: missing files are left out, those
         that became binary stay without hashes."""
         found = read_paths(docs.select("path")).where("error is null").select("path", F.col("mtime").alias("m0"), F.col("size").alias("s0"))
         have = self.contents(self.spark, docs.select("path")).select(F.col("path").alias("cp"), "hashes")
         rows = docs.select("doc_id", "path").join(found, "path").join(have, F.col("path") == F.col("cp"), "left")
         empty = F.array().cast("array<long>")
-        self.checkpoint(rows.select("doc_id", "path", F.col("m0").alias("mtime"), F.col("s0").alias("size"), F.coalesce("hashes", empty).alias("hashes"), F.lit(False).alias("tombstone")), -1)
+        self.checkpoint(rows.select("doc_id", "path", F.col("m0").alias("mtime"), F.col("s0").alias("size"), F.coalesce("hashes", empty).alias("hashes"), F.lit(False).alias("tombstone")), upto, index)
 
-    def current(self) -> DataFrame | None:
-        """Snapshot and deltas merged; None if nothing was ever written."""
+    def changed(self) -> DataFrame | None:
+        """``(doc_id)`` of the documents that deltas after the snapshot are about; None
+        if there are no such deltas."""
+        at = self._pointer()
+        if at is None or not self.files.exists(f"{self.path}/delta"):
+            return None
+        return self.spark.read.schema(DELTA).parquet(f"{self.path}/delta").where(F.col("batch") > at["batch"]).select("doc_id").distinct()
+
+    def current(self, ids: DataFrame | None = None) -> DataFrame | None:
+        """Snapshot and deltas merged, of all documents or those of ``ids(doc_id)``; None
+        if nothing was ever written."""
         at = self._pointer()
         if at is None:
             return None
         state = self.spark.read.schema(STATE).parquet(f"{self.path}/snapshots/v={at['version']}")
+        if ids is not None:
+            state = state.join(ids, "doc_id", "left_semi")
         if not self.files.exists(f"{self.path}/delta"):
             return state
         delta = self.spark.read.schema(DELTA).parquet(f"{self.path}/delta").where(F.col("batch") > at["batch"])
@@ -224,29 +250,48 @@ class WatchStore:
         contents.unpersist()
         last.unpersist()
 
-    def compact(self, upto: int) -> DataFrame:
-        """Folds deltas into a new snapshot with ids 0, 1, … by path, and drops them."""
-        state = self.current()
-        fresh = renumber(state)
-        self.checkpoint(fresh, upto)
+    def compact(self, upto: int, rebuild: Callable[[DataFrame], tuple[DataFrame, int]] | None = None) -> DataFrame:
+        """Folds deltas into a new snapshot with ids 0, 1, … by path, and drops them.
+
+        ``rebuild`` is given the paths of live documents and returns ``(docs(doc_id,
+        path), version)`` of a base index built anew from what these files hold now:
+        the snapshot is then of those, and files that vanished or became binary are
+        gone from both.
+        """
+        fresh = renumber(self.current())
+        if rebuild is None:
+            self.checkpoint(fresh, upto)
+        else:
+            docs, version = rebuild(fresh.select("path"))
+            self.bootstrap(docs, upto, version)
         for part in ("delta", "prints"):
             self.files.remove(f"{self.path}/{part}")
         return self.current()
 
 
 def watch(
-    store: WatchStore, changes: DataFrame, checkpoint_dir: str, trigger: dict | None = None, compact_every: int = 600, on_status: Callable[[str, int], None] = lambda phase, batch: None
+    store: WatchStore,
+    changes: DataFrame,
+    checkpoint_dir: str,
+    trigger: dict | None = None,
+    compact_seconds: float | None = 60,
+    rebuild: Callable[[DataFrame], tuple[DataFrame, int]] | None = None,
+    on_status: Callable[[str, int], None] = lambda phase, batch: None,
+    clock: Callable[[], float] = time.monotonic,
 ) -> StreamingQuery:
     """Starts a stream of ``changes(path, action, ts, seq)`` into the store; within
-    a micro-batch the last action on a path wins. Compacts every so many batches.
+    a micro-batch the last action on a path wins. Compacts with the first batch after
+    each ``compact_seconds`` (None: never): without changes there is nothing to fold.
     ``on_status`` hears of each phase (updating, compacting, idle) with its batch."""
+    last = [clock()]
 
     def run(batch: DataFrame, number: int) -> None:
         on_status("updating", number)
         store.apply(batch, number)
-        if compact_every and number and number % compact_every == 0:
+        if compact_seconds is not None and clock() - last[0] >= max(1, compact_seconds):
             on_status("compacting", number)
-            store.compact(number)
+            store.compact(number, rebuild)
+            last[0] = clock()
         on_status("idle", number)
 
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir).trigger(**(trigger or {"processingTime": "1 second"})).start()

@@ -1,8 +1,11 @@
 import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from grainsift.cli import Debouncer, follow, parser
 from grainsift.engine import Engine
 from grainsift.sources.files import crawl
 from grainsift.streaming import watch as W
@@ -107,6 +110,96 @@ def test_store(spark, setup):
     assert d not in live(store)
 
 
+def test_compaction_rebuilds_the_base_index(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    for n in "abcde":
+        (root / f"{n}.txt").write_text(f"{n} alpha\n")
+    engine, at = Engine(spark, str(tmp_path / "home")), str(root)
+    store = engine.watched(at)
+    a, b, c, f = (str(root / f"{n}.txt") for n in "abcf")
+
+    def hits(pattern):
+        result = engine.query(at, pattern)
+        return result.backend, sorted(r["path"] for r in result.hits.collect())
+
+    assert hits("alpha") == ("index", [str(root / f"{n}.txt") for n in "abcde"])
+    (root / "a.txt").write_text("changed needle\n")
+    (root / "f.txt").write_text("new needle\n")
+    (root / "b.txt").unlink()
+    store.apply(change(spark, [(a, "upsert"), (f, "upsert"), (b, "delete")]), 0)
+    assert store.last_batch() == 0
+    # changed documents by their own tokens, the others from the index
+    assert hits("needle") == ("index and watch", [a, f])
+    assert hits("alpha") == ("index and watch", [str(root / f"{n}.txt") for n in "cde"])
+    (root / "c.txt").unlink()  # nobody told
+    compacted = engine.compact(at)
+    assert [r["path"] for r in compacted.orderBy("doc_id").collect()] == [a, str(root / "d.txt"), str(root / "e.txt"), f]
+    index = engine.open(at)
+    assert index.version == 2 == store.base() and store.changed() is None
+    assert [r["path"] for r in index.docs.orderBy("doc_id").collect()] == [r["path"] for r in compacted.orderBy("doc_id").collect()]
+    assert hits("needle") == ("index", [a, f]) and hits("alpha") == ("index", [str(root / "d.txt"), str(root / "e.txt")])
+    assert engine.query(at, "alpha").errors.count() == 0
+    store.apply(change(spark, [(f, "delete")]), 1)
+    assert hits("needle") == ("index and watch", [a])
+    assert engine.measured(engine.query(at, "needle"))["docs"] == 1
+
+
+def test_compaction_by_seconds(spark, setup, tmp_path):
+    root, engine, store = setup
+    feed, schema = tmp_path / "feed", "path string, action string, seq long"
+    times, heard = iter([0.0, 5.0, 61.0, 62.0, 70.0]), []
+    for i in range(3):
+        (root / f"n{i}.txt").write_text("x\n")
+        change(spark, [(str(root / f"n{i}.txt"), "upsert")]).coalesce(1).write.mode("append").json(str(feed))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(feed))
+    W.watch(store, stream, str(tmp_path / "cp"), {"availableNow": True}, 60, on_status=lambda *s: heard.append(s), clock=lambda: next(times)).awaitTermination(180)
+    assert [s for s in heard if s[0] == "compacting"] == [("compacting", 1)]
+    assert live(store) == rebuilt(spark, str(root))
+
+
+def test_debouncer():
+    d = Debouncer(0.1)
+    d.push([("a", "upsert"), ("b", "upsert")], 0.0)
+    d.push([("a", "delete")], 0.06)
+    assert d.ready(0.05) == []
+    assert d.ready(0.11) == [("b", "upsert")]
+    d.push([("c", "upsert")], 0.12)
+    assert d.ready(0.3, 1) == [("a", "delete")]
+    assert d.ready(0.3, 1) == [("c", "upsert")]
+    assert d.ready(9.0) == []
+
+
+def test_following_and_typing_at_once(spark, tmp_path, capsys):
+    root = tmp_path / "t"
+    root.mkdir()
+    (root / "a.txt").write_text("alpha\n")
+    engine = Engine(spark, str(tmp_path / "home"))
+    args = parser().parse_args(["live", str(root), "--debounce-ms", "20"])
+    silent = threading.Event()
+
+    def lines():
+        (root / "b.txt").write_text("beta needle\n")  # while nothing is typed
+        silent.wait(60)
+        yield "needle\n"
+        silent.clear()
+        silent.wait(60)
+
+    def told():
+        for _ in range(300):
+            if (live_now := engine.store(str(root)).changed()) is not None and live_now.count():
+                silent.set()
+                return
+            time.sleep(0.2)
+
+    threading.Thread(target=told, daemon=True).start()
+    closing = threading.Timer(45, silent.set)
+    closing.start()
+    follow(engine, str(root), args, lines(), rounds=900)
+    closing.cancel()
+    assert "./b.txt:\n       1: beta needle" in capsys.readouterr().out
+
+
 def test_unchanged_fingerprint_needs_nothing(spark, setup):
     root, _, store = setup
     store.apply(change(spark, [(str(root / "a.txt"), "upsert")]), 0)
