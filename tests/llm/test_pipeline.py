@@ -2,7 +2,7 @@ import shutil
 from collections import Counter
 
 import pytest
-from fixtures import awkward
+from fixtures import AWKWARD, awkward, empty
 
 import corpus_pipeline as P
 from grainsift.llm import automaton, kneser_ney, mixing, packing, simhash_trie
@@ -87,3 +87,36 @@ def test_awkward_documents(spark, sf_dir, tmp_path):
         shutil.copy(source, tmp_path / "labels.parquet")
     got = P.run(spark, str(tmp_path)).collect()
     assert got and {r["doc_id"] for r in got} >= {2, 3}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_stages_on_awkward_and_empty_tables(spark, sf_dir, name):
+    """With clashing columns, nulls everywhere, repeats, and nothing at all."""
+    stage = dict(P.STAGES)[name]
+    docs = awkward(spark)
+    made = stage(spark, docs, sf_dir)
+    rows, before = made.collect(), docs.collect()
+    nothing = stage(spark, empty(spark), sf_dir)
+    assert nothing.collect() == [] and nothing.columns == made.columns
+    if name == "packing":
+        tokens = Counter()
+        for r in rows:
+            tokens[r["doc_id"]] += r["tokens"]
+        want = Counter()
+        for r in before:
+            want[r["doc_id"]] += len((r["text"] or "").split())
+        assert tokens == want and all((r["bin_id"] is None) == (r["tokens"] == 0) for r in rows)
+        return
+    assert made.columns == [c.split()[0] for c in AWKWARD.split(", ")]
+    assert {(r["epoch"], r["TOKENS"], r["gone"], r["spans"], r["keep"]) for r in rows} == {("e", 7, None, "s", "k")}
+    ids = Counter(r["doc_id"] for r in rows)
+    had = Counter(r["doc_id"] for r in before)
+    if name == "quality":
+        assert not [r for r in rows if not (r["text"] or "").strip()]
+        assert ids[2] == 1 and ids[0] == had[0] == 3  # repeated rows fare alike
+    elif name == "near_copies":
+        assert ids[None] == had[None] and ids[102] == ids[100] == 1 and ids[0] == ids[1] == 1
+    elif name == "substrings":
+        assert ids == had and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    else:
+        assert set(ids) == set(had) and all(ids[i] >= had[i] for i in had)
