@@ -18,8 +18,9 @@ MAX_BITS = 10
 """Hamming budget on the 64 bits made from single words."""
 MAX_PAIR_BITS = 16
 """Hamming budget on the further 64 bits made from word pairs."""
-BUCKET_ROWS = 50_000
-_QUARTERS = 4
+BUCKET_ROWS, BUCKET_MOST = 50_000, 1_000_000
+"""Prints of a bucket's own, and how many it may have before prefixes get longer: a
+task holds six times as many, of 24 bytes each."""
 _LEAF = 24
 _CHUNK = 1 << 20
 WORD = r"[0-9A-Za-z[^\x00-\x7f]]"
@@ -86,33 +87,56 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # --- trie self-join --------------------------------------------------------
 
 
-def _rotate(keys: np.ndarray, quarter: int) -> np.ndarray:
-    """The order of bits for one pass: ``quarter`` first, the other quarter of its
-    half second, then the other half."""
-    q = [(keys >> np.uint64(48 - 16 * i)) & np.uint64(0xFFFF) for i in range(4)]
-    half = quarter // 2 * 2
-    order = [quarter, half + 1 - quarter % 2, (half + 2) % 4, (half + 3) % 4]
-    out = np.zeros_like(keys)
-    for i, k in enumerate(order):
-        out |= q[k] << np.uint64(48 - 16 * i)
+_BLOCKS = (11, 11, 11, 11, 10, 10)
+"""The bits of a key in six blocks; two neighbours are a pair."""
+_FROM = tuple(sum(_BLOCKS[:i]) for i in range(6))
+
+
+def _rotate(keys: np.ndarray, first: int) -> np.ndarray:
+    """The order of bits for one pass: block ``first``, the other one of its pair, then
+    the rest."""
+    order = [first, first ^ 1, *[k for k in range(6) if k // 2 != first // 2]]
+    out, at = np.zeros_like(keys), 64
+    for k in order:
+        at -= _BLOCKS[k]
+        out |= ((keys >> np.uint64(64 - _FROM[k] - _BLOCKS[k])) & np.uint64((1 << _BLOCKS[k]) - 1)) << np.uint64(at)
     return out
 
 
-def _budget(depth: int, bits: int) -> int:
-    """Errors allowed once ``depth`` bits are read. Of ``bits`` errors at most half
-    fall in the better half, at most a quarter in the better quarter of it; the
-    four bit orders try each, so nothing within ``bits`` is lost."""
-    return bits // 4 if depth <= 16 else bits // 2 if depth <= 32 else bits
+def _budget(depth: int, bits: int, first: int) -> int:
+    """Errors allowed once ``depth`` bits are read. Of ``bits`` errors at most a third
+    fall in the best pair of blocks, and at most half of these, a sixth, in its better
+    block; the six passes try each, so nothing within ``bits`` is lost."""
+    size = _BLOCKS[first]
+    return bits // 3 // 2 if depth <= size else bits // 3 if depth <= 2 * size else bits
+
+
+def reach(top: int, bits: int, first: int) -> np.ndarray:
+    """Differences of prefixes of ``top`` bits that stay within the budget at every
+    depth: so many buckets, about half of them, a print is sent to in a pass."""
+    found = np.zeros(1, np.int64)
+    for depth in range(1, top + 1):
+        found = np.concatenate([2 * found, 2 * found + 1])
+        found = found[np.bitwise_count(found) <= _budget(depth, bits, first)]
+    return np.sort(found)
+
+
+def depth_of(rows: int) -> int:
+    """Bits at which the trie is split: buckets of BUCKET_ROWS prints while the prefix
+    lies in one block, where a print is sent to at most 36 buckets over all passes;
+    then buckets grow to BUCKET_MOST, and only beyond that does the prefix."""
+    wanted = math.ceil(math.log2(max(1, rows) / BUCKET_ROWS)) if rows else 0
+    return max(3, min(wanted, 10) if rows <= BUCKET_MOST << 10 else min(16, math.ceil(math.log2(rows / BUCKET_MOST))))
 
 
-def trie_pairs(keys: np.ndarray, bits: int, top: int, own: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(keys: np.ndarray, bits: int, top: int, own: int | None, first: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of the sorted ``keys`` (bits in the order of the pass) whose
     difference stays within the budget at every depth.
 
     Two nodes of the trie (ranges of ``keys`` with a common prefix) are walked down
     together with the number of differing bits so far; a pair of nodes is dropped
     as soon as the budget is exceeded. ``own``: the prefix of ``top`` bits that one
-    side must have; None for all.
+    side must have; None for all. ``first`` is the block that the pass begins with.
     """
     n = len(keys)
     if n < 2:
@@ -147,7 +171,7 @@ def trie_pairs(keys: np.ndarray, bits: int, top: int, own: int | None) -> Iterat
         if not len(at):
             return
         err = np.bitwise_count((values ^ own).astype(np.uint64)).astype(np.int64)
-        use = np.flatnonzero((values >= own) & (err <= _budget(top, bits)))
+        use = np.flatnonzero((values >= own) & np.isin(values ^ own, reach(top, bits, first)))
         a = np.full(len(use), at[0])
         start, depth = np.array([lo[a], hi[a], lo[use], hi[use], err[use]], np.int32), top
     stack = [(depth, start)]
@@ -175,7 +199,7 @@ def trie_pairs(keys: np.ndarray, bits: int, top: int, own: int | None) -> Iterat
         a_mid, b_mid = f[1] - (c[f[1]] - c[f[0]]), f[3] - (c[f[3]] - c[f[2]])
         same = f[0] == f[2]
         children = []
-        allowed = _budget(depth + 1, bits)
+        allowed = _budget(depth + 1, bits, first)
         for alo, ahi, blo, bhi, extra in ((f[0], a_mid, f[2], b_mid, 0), (a_mid, f[1], b_mid, f[3], 0), (f[0], a_mid, b_mid, f[3], 1), (a_mid, f[1], f[2], b_mid, 1)):
             err = f[4] + extra
             ok = (ahi > alo) & (bhi > blo) & (err <= allowed)
@@ -205,30 +229,31 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def near_edges(prints: DataFrame, bits: int = MAX_BITS, pair_bits: int = MAX_PAIR_BITS, rows: int | None = None) -> DataFrame:
+def near_edges(prints: DataFrame, bits: int = MAX_BITS, pair_bits: int = MAX_PAIR_BITS, rows: int | None = None, top: int | None = None) -> DataFrame:
     """``(u, v)`` edges whose components are those of all pairs of ``prints(id, a,
     b)`` with at most ``bits`` different bits in ``a`` and ``pair_bits`` in ``b``.
 
-    Four passes, one for each quarter of ``a`` read first. A pass splits the trie at
-    ``top`` bits; a bucket receives its own prints and those of the buckets above it
-    within the budget, so every pair of nodes meets in one task. ``top`` follows the
-    number of prints. Each task replaces its pairs by a spanning forest.
+    Six passes, one for each block of ``a`` read first. A pass splits the trie at
+    ``top`` bits (by the number of prints); a bucket receives its own prints and those
+    of the buckets above it within the budget, so every pair of nodes meets in one
+    task. Each task replaces its pairs by a spanning forest. A bucket into which many
+    more prints fall than into others is still one task: prints are equal only once,
+    so it holds different ones, of 24 bytes, and its pairs are expanded in bounded
+    parts.
     """
-    rows = prints.count() if rows is None else rows
-    top = min(16, max(3, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS)) if rows else 3))
-    reach = [d for d in range(1 << top) if d.bit_count() <= _budget(top, bits)]
+    top = depth_of(prints.count() if rows is None else rows) if top is None else top
+    far = [reach(top, bits, first) for first in range(6)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far = np.array(reach, np.int64)
         for batch in batches:
             ids, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for quarter in range(_QUARTERS):
-                turned = _rotate(a.view(np.uint64), quarter)
+            for first in range(6):
+                turned = _rotate(a.view(np.uint64), first)
                 home = (turned >> np.uint64(64 - top)).astype(np.int64)
-                bucket = home[:, None] ^ far[None, :]
+                bucket = home[:, None] ^ far[first][None, :]
                 row, col = np.nonzero(bucket <= home[:, None])
                 yield pa.record_batch(
-                    [pa.array((quarter << top) + bucket[row, col]), pa.array(turned[row].view(np.int64)), pa.array(b[row]), pa.array(ids[row])], ["task", "key", "b", "id"]
+                    [pa.array((first << top) + bucket[row, col]), pa.array(turned[row].view(np.int64)), pa.array(b[row]), pa.array(ids[row])], ["task", "key", "b", "id"]
                 )
 
     def join(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
@@ -238,7 +263,8 @@ def near_edges(prints: DataFrame, bits: int = MAX_BITS, pair_bits: int = MAX_PAI
         order = np.argsort(k, kind="stable")
         k, b, ids = k[order], b[order], ids[order]
         label = np.arange(len(k))
-        for i, j in trie_pairs(k, bits, top, key[0].as_py() & ((1 << top) - 1)):
+        task = key[0].as_py()
+        for i, j in trie_pairs(k, bits, top, task & ((1 << top) - 1), task >> top):
             near = np.bitwise_count(b[i] ^ b[j]) <= pair_bits
             i, j = label[i[near]], label[j[near]]
             if (i != j).any():
