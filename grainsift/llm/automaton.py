@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsift.functions.kernels import pieces, utf8
-from grainsift.llm._common import Words, cut, keep_columns, prepare, renamed, rolling, sliding_min, small, table
+from grainsift.llm._common import Words, cut, keep_columns, prepare, renamed, rolling, sliding_min, small, table, tidied
 
 MIN_WORDS = 50
 """Shared spans of at least so many words go."""
@@ -149,6 +149,7 @@ def anchors(words: Words, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
 def anchor_rows(docs: DataFrame, span: int, k: int) -> DataFrame:
     """``(fp, doc_id)``, once per text."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
@@ -187,6 +188,7 @@ def _windows(span: int, k: int):
     """Kernel: every window of ``span`` words around a document's anchors, with its
     hash and its bytes."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
@@ -222,6 +224,7 @@ def _contexts(span: int, k: int, shards: int):
             gaps = np.diff(starts[x : y + 1]).astype(np.uint32)
             yield int(own[a]) % shards, int(starts[x]), short[x:y].tobytes(), gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), y - x
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, h = batch.column(0), batch.column(1)
@@ -242,6 +245,7 @@ def _stream(span: int):
     """Kernel over rows sorted by shard and document: each document is streamed
     through the automaton of the documents before it, then added where it is new."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, seen, shard, doc, waiting = Automaton(), set(), None, None, []
         for batch in batches:
@@ -397,6 +401,7 @@ def _build(shard_words: int):
     """Kernel: reference texts to automata of about so many words (one text at least),
     each with its anchors."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, size = Automaton(), 0
         for batch in batches:
@@ -417,6 +422,7 @@ def _match(sent, anchors_sent, span: int, k: int):
     """Kernel: the bytes of texts that some automaton holds. A text without an anchor
     of the reference holds no run of it, and isn't streamed."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: list[Automaton] = []
         known = anchors_sent.value

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsift.functions.kernels import mix, pieces, span_hashes, utf8
-from grainsift.llm._common import cut, keep_columns, prepare, renamed, small, table
+from grainsift.llm._common import cut, keep_columns, prepare, renamed, small, table, tidied
 
 BITS = 32
 """Words are told apart by hashes of so many bits: of a million words 0.02 % share one."""
@@ -180,6 +180,7 @@ def _starts(values: np.ndarray) -> np.ndarray:
 def _count(grid: Grid):
     """Kernel: texts to counts of pairs, by shard."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
 
@@ -214,6 +215,7 @@ def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[at], np.add.reduceat(c, at) if len(at) else c
 
 
+@tidied
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kernel over rows sorted by shard: one row of summed counts for each shard."""
     shard, keys, counts = None, [], []
@@ -268,6 +270,7 @@ def _added(parts: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
+@tidied
 def _of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield _summary([(0, _histogram(decode(d.as_py())[1])) for d in batch.column(3)])
@@ -281,6 +284,7 @@ def _sides(grid: Grid):
     row for each part of the words: of contexts v the sums and the numbers of counts
     1, 2 and more, of words w the numbers of different v."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(BITS - grid.bits)
         for batch in batches:
@@ -415,6 +419,7 @@ def _finish(grid: Grid, c: Constants):
         hot = order[counts[order] >= c.hot_pair]
         return _rows([*_tables(short[order], value[order], c.width - grid.bits, 0), (shard, HOT, 0, squeeze(_steps(short[hot]), value[hot]))])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, data = None, b""
         sides: dict[int, list[np.ndarray]] = {OF_CONTEXTS: [], OF_WORDS: []}
@@ -510,6 +515,7 @@ def _ask(grid: Grid, hot):
     """Kernel: texts to what hot words and pairs say of them, and to the words and
     pairs that shards are asked for, block by block."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Hot = hot.value
         task = TaskContext.get()
@@ -560,6 +566,7 @@ def _ask(grid: Grid, hot):
     return run
 
 
+@tidied
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kernel over rows sorted by shard and kind: a table, then the blocks that ask. A
     block gets the sum for each of its documents; headers pass."""

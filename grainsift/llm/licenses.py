@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsift.functions.kernels import mix, pieces, utf8
-from grainsift.llm._common import Words, keep_columns, prepare, rolling, sliding_min, table
+from grainsift.llm._common import Words, keep_columns, prepare, rolling, sliding_min, table, tidied
 
 SHINGLE = 3
 ROWS = 2
@@ -256,6 +256,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, rows
     for group in groups:
         library = docs.sparkSession.sparkContext.broadcast(Library(group, rows, containment, recall))
 
+        @tidied
         def run(batches: Iterator[pa.RecordBatch], library=library) -> Iterator[pa.RecordBatch]:
             known = library.value
             for batch in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainsift.functions.kernels import mix, pieces, utf8
-from grainsift.llm._common import Words, cut, keep_columns, prepare, renamed, small, table
+from grainsift.llm._common import Words, cut, keep_columns, prepare, renamed, small, table, tidied
 from grainsift.llm.components import connected_components
 
 MAX_BITS = 10
@@ -68,6 +68,7 @@ def simhash(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, a, b)`` for every document with an id and at least one word."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
@@ -244,6 +245,7 @@ def near_edges(prints: DataFrame, bits: int = MAX_BITS, pair_bits: int = MAX_PAI
     top = depth_of(prints.count() if rows is None else rows) if top is None else top
     far = [reach(top, bits, first) for first in range(6)]
 
+    @tidied
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsift.llm._common import keep_columns, prepare, table
+from grainsift.llm._common import keep_columns, prepare, table, tidied
 
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 # the near pixels that short distances name: (columns to the left, rows up)
@@ -714,6 +714,7 @@ def decode_images(images: DataFrame) -> DataFrame:
         columns = [pixels if i == 3 else pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
         return pa.record_batch(columns, ["image_id", "width", "height", "pixels", "error"])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -757,6 +758,7 @@ def images_of(vectors: DataFrame, width: int = 8) -> DataFrame:
     """A lossless WebP image of every vector, in turns with each kind of coding."""
     prepare(vectors.sparkSession)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
