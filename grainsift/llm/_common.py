@@ -16,8 +16,10 @@ from grainsift.functions.lineage import checkpoint_folder
 from grainsift.functions.lineage import cut as checkpointed
 from grainsift.functions.ship import ship
 
-BROADCAST_BYTES = 48 << 20
-"""A side is broadcast only while rows x row width stays below this."""
+BROADCAST_BYTES = 96 << 20
+"""A side is broadcast only while its hash table stays below this: rows x width, where"""
+LONG_KEY, WIDE_KEY = 48, 128
+"""a row with a single long as its key takes some 48 bytes, any other some 128."""
 
 BATCH_ROWS = 512
 BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
@@ -43,7 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
-def small(df: DataFrame, rows: int, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def small(df: DataFrame, rows: int, width: int = LONG_KEY, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint while ``rows * width`` is below ``limit``;
     beyond it Catalyst plans a shuffle join."""
     return F.broadcast(df) if rows * width <= limit else df

@@ -310,9 +310,9 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def _sent(ids: DataFrame) -> DataFrame:
-    """A table of ids, written to the shared folder; broadcast below 48 MB."""
+    """A table of ids, written to the shared folder; broadcast while it is small."""
     ids = cut(ids)
-    return small(ids, ids.count(), 16)
+    return small(ids, ids.count())
 
 
 def shared_spans(docs: DataFrame, span: int = MIN_WORDS, k: int = ANCHOR_WORDS, hot_docs: int = HOT_DOCS) -> DataFrame:
@@ -354,15 +354,16 @@ def remove_spans(docs: DataFrame, spans: DataFrame, changed_only: bool = False)
     ids of changed ones fit a broadcast."""
     rows, at = _keyed(docs)
     spans = cut(spans.groupBy(F.col("doc_id").alias("span_id"), F.col("h").alias("span_h")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
-    keys = spans.select("span_id", "span_h")
-    keys = small(keys, spans.count(), 24)
+    # one long as the key of the larger tables: rows that only share its hash have no spans
+    keys = _sent(spans.select(F.xxhash64("span_id", "span_h").alias("key")).distinct())
+    own = F.xxhash64("doc_id", "h") == F.col("key")
     same = F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("h") == F.col("span_h"))
     inner = [f"c{i}" for i in range(len(docs.columns))]
-    changed = rows.join(keys, same, "left_semi").join(spans, same)
-    out = [(_without(F.col(c), F.col("spans")) if c == at["text"] else F.col(c)).alias(c) for c in inner]
+    changed = rows.join(keys, own, "left_semi").join(spans, same, "inner" if changed_only else "left")
+    out = [(F.when(F.col("spans").isNull(), F.col(c)).otherwise(_without(F.col(c), F.col("spans"))) if c == at["text"] else F.col(c)).alias(c) for c in inner]
     if changed_only:
         return changed.select(*out, _runs(F.col("spans")).alias("__n")).toDF(*docs.columns, "removed_spans")
-    return rows.join(keys, same, "left_anti").select(*inner).unionByName(changed.select(*out)).toDF(*docs.columns)
+    return rows.join(keys, own, "left_anti").select(*inner).unionByName(changed.select(*out)).toDF(*docs.columns)
 
 
 def remove_shared(docs: DataFrame, span: int = MIN_WORDS, k: int = ANCHOR_WORDS, changed_only: bool = False, hot_docs: int = HOT_DOCS) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsift.functions.kernels import mix, pieces, span_hashes, utf8
-from grainsift.llm._common import cut, keep_columns, prepare, renamed, small, table, tidied
+from grainsift.llm._common import WIDE_KEY, cut, keep_columns, prepare, renamed, small, table, tidied
 
 BITS = 32
 """Words are told apart by hashes of so many bits: of a million words 0.02 % share one."""
@@ -631,7 +631,7 @@ def scores(docs: DataFrame, labels: DataFrame, train_share: float = TRAIN_SHARE)
     text = F.col(at["text"]).cast("string")
     rows = inner.select(F.col(at["doc_id"]).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(at["lang"]).cast("string").alias("lang"), text.alias("text"))
     trusted = cut(trusted_ids(labels, train_share))
-    learn = small(trusted.where("train").select("tid"), trusted.count(), 16)
+    learn = small(trusted.where("train").select("tid"), trusted.count())
     model, hot = train(rows.where("text is not null").join(learn, F.col("doc_id") == F.col("tid"), "left_semi").select("text"), grid)
     asked = rows.mapInArrow(_ask(grid, spark.sparkContext.broadcast(hot)), ROW).unionByName(model)
     return cut(_routed(asked).mapInArrow(_answer, ROW).groupBy("block").applyInArrow(_close, SCORE)), trusted
@@ -675,10 +675,10 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns; nulls, empty
-    and repeated texts as there. Rejected keys (id and text) are broadcast below
-    48 MB, else joined by key."""
+    and repeated texts as there. Rejected keys (id and text) are broadcast while
+    that takes less than 96 MB, else joined by key."""
     gone = cut(judge(docs, labels, quantile).where("not keep").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct())
-    gone = small(gone, gone.count(), 24)
+    gone = small(gone, gone.count(), WIDE_KEY)
     inner, at = renamed(docs)
     same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col(at["text"]).cast("string")) == F.col("gone_h"))
     return inner.join(gone, same, "left_anti").toDF(*docs.columns)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainsift.llm._common import cut, renamed, small, table, token_count
+from grainsift.llm._common import WIDE_KEY, cut, renamed, small, table, token_count
 
 MAX_EPOCHS = 1.5
 """No source is repeated more often than this."""
@@ -101,7 +101,7 @@ def mix_sources(
     ``perm_key``, the MD5 of doc_id, epoch and seed; its first three digits are its
     block. Block totals find the block in which the budget ends and only that block
     is sorted, so no task ever holds a source, however hot; the mixture itself is a
-    scan with a broadcast row per source (beyond 48 MB of sources: a join).
+    scan with a broadcast row per source (beyond 96 MB of sources: a join).
 
     A null source is a source of its own. A null text has no tokens; documents
     without tokens cost nothing and come along. Rows with equal ids (null ones
@@ -131,12 +131,12 @@ def mix_sources(
         epochs, rest = divmod(share, r["total"]) if r["total"] else (1, 0)
         rows.append((r["s"], epochs, rest))
     spark = docs.sparkSession
-    plan = small(spark.createDataFrame(rows, "ps string, epochs long, rest long"), len(rows), 64)
+    plan = small(spark.createDataFrame(rows, "ps string, epochs long, rest long"), len(rows), WIDE_KEY)
     before = F.sum("t").over(running) - F.col("t")
     ends = blocks.withColumn("before", before).join(plan, F.col("s").eqNullSafe(F.col("ps")))
     ends = ends.where("before <= rest and rest < before + t").select(F.col("s").alias("es"), F.col("b").alias("eb"), (F.col("rest") - F.col("before")).alias("room")).collect()
     end_rows = [tuple(r) for r in ends]
-    limit = small(spark.createDataFrame(end_rows, "es string, eb string, room long"), len(end_rows), 64)
+    limit = small(spark.createDataFrame(end_rows, "es string, eb string, room long"), len(end_rows), WIDE_KEY)
     inside = inner.select(source.alias("s"), in_part.alias("k"), tokens.alias("t")).join(limit, F.col("s").eqNullSafe(F.col("es")) & (F.substring("k", 1, _BLOCK_DIGITS) == F.col("eb")))
     total = F.sum("t").over(Window.partitionBy("s").orderBy("k").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     last = inside.withColumn("sum", total).where("sum <= room").groupBy("s").agg(F.max("k").alias("k")).collect()
@@ -144,7 +144,7 @@ def mix_sources(
     end_block = {r["es"]: r["eb"] for r in ends}
     # up to which key the part epoch goes; a source whose rest ends in no block takes all or none
     cuts = [(s, epochs, last_key.get(s) or end_block.get(s) or ("g" if rest else "")) for s, epochs, rest in rows]
-    cut_rows = small(spark.createDataFrame(cuts, "ms string, epochs long, upto string"), len(cuts), 96)
+    cut_rows = small(spark.createDataFrame(cuts, "ms string, epochs long, upto string"), len(cuts), WIDE_KEY)
     drawn = inner.join(cut_rows, source.eqNullSafe(F.col("ms")))
     drawn = drawn.withColumn("n", F.col("epochs") + F.when(in_part <= F.col("upto"), 1).otherwise(0)).where("n > 0")
     drawn = drawn.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))

@@ -300,7 +300,7 @@ def near_groups(docs: DataFrame, bits: int = MAX_BITS, pair_bits: int = MAX_PAIR
     Repeated rows are one document. An empty table gives an empty result.
     """
     prints, groups = _resolve(docs, bits, pair_bits)
-    sizes = groups.groupBy("group_id").agg(F.count("*").alias("group_size"))
+    sizes = cut(groups.groupBy("group_id").agg(F.count("*").alias("group_size")))  # written, so that the join can split a hot group
     copies = prints.groupBy("doc_id").agg(F.sum("copies").alias("copies"))
     return groups.join(sizes, "group_id").join(copies, "doc_id").select("doc_id", "group_id", "group_size", "copies")
 
@@ -311,7 +311,7 @@ def drop_near_copies(docs: DataFrame, bits: int = MAX_BITS, pair_bits: int = MAX
     stays. Rows without id, and texts that are null or hold no word, stay."""
     prints, groups = _resolve(docs, bits, pair_bits)
     gone = cut(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("gone")))
-    gone = small(gone, gone.count(), 16)
+    gone = small(gone, gone.count())
     inner, at = renamed(docs)
     ident, text = F.col(at["doc_id"]).cast("long"), F.col(at["text"])
     kept = inner.join(gone, ident == F.col("gone"), "left_anti")
@@ -319,7 +319,7 @@ def drop_near_copies(docs: DataFrame, bits: int = MAX_BITS, pair_bits: int = MAX
     n = repeated.count()
     if not n:
         return kept.toDF(*docs.columns)
-    repeated = small(repeated, n, 16)
+    repeated = small(repeated, n)
     wordy = text.isNotNull() & text.rlike(WORD)
     order = Window.partitionBy(ident).orderBy(text, *[c for c in inner.columns if c not in (at["doc_id"], at["text"])])
     one = kept.join(repeated, (ident == F.col("again")) & wordy, "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
