@@ -199,7 +199,9 @@ LINK = r"(?i)<a [^>]*href=[\"']([^\"']*)[\"']"
 LINES = "[\r\n]+"
 
 # character references: all named ones that end in a semicolon, and numbers
-ENTITIES = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")} | {"nbsp": " "}
+_FREQUENT = "amp lt gt quot nbsp copy middot apos reg trade hellip mdash ndash rsquo lsquo rdquo ldquo bull laquo raquo eacute egrave agrave ccedil uuml ouml auml szlig ntilde oacute euro deg times".split()
+_NAMED = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")} | {"nbsp": " "}
+ENTITIES = {k: _NAMED[k] for k in _FREQUENT} | _NAMED  # maps are searched from the front
 REFERENCE = r"^(#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,9}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 #: numbers 128 to 159 name the characters of Windows-1252
 _C1 = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160)]
