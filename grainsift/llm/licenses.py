@@ -124,6 +124,9 @@ class Library:
         self.names = sorted(templates)
         self.shingles = [shingles_of(templates[n]) for n in self.names]
         sizes = [len(s) for s in self.shingles]
+        self.every = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.shingles]))
+        self.sieve = np.zeros(1 << 16, bool)
+        self.sieve[self.every & np.uint64(0xFFFF)] = True
         self.scales = scales([n for n in sizes if n], rows, containment, recall)
         self.functions = rows * max((s.bands for s in self.scales), default=0)
         #: for each scale and band: keys in order, their templates, and a filter on 16 bits
@@ -174,9 +177,18 @@ def scan(library: Library, words: Words) -> Iterator[tuple[int, int, int, float,
     whole = owner[: len(h)] == owner[SHINGLE - 1 :] if len(h) else np.zeros(0, bool)
     place = np.flatnonzero(whole)
     h = h[whole]
-    first = np.searchsorted(place, words.first)
-    if not len(h):
+    # a window collides in a band only if it holds the template's shingles with the least
+    # hashes: a text without any shingle of a template has no such window
+    some = np.flatnonzero(library.sieve[h & np.uint64(0xFFFF)])
+    some = some[np.isin(h[some], library.every)]
+    if not len(some):
         return
+    of = owner[: len(whole)][whole]
+    near = np.zeros(len(words.first) - 1, bool)
+    near[of[some]] = True
+    near = near[of]
+    place, h = place[near], h[near]
+    first = np.searchsorted(place, words.first)
     hashes = minima(h, library.functions)
     size = np.diff(first)
     for scale, tables in zip(library.scales, library.tables, strict=True):
