@@ -16,10 +16,10 @@ from grainsift.functions.lineage import checkpoint_folder
 from grainsift.functions.lineage import cut as checkpointed
 from grainsift.functions.ship import ship
 
-BROADCAST_BYTES = 96 << 20
+BROADCAST_BYTES = 192 << 20
 """A side is broadcast only while its hash table stays below this: rows x width, where"""
-LONG_KEY, WIDE_KEY = 48, 128
-"""a row with a single long as its key takes some 48 bytes, any other some 128."""
+LONG_KEY, WIDE_KEY = 88, 128
+"""a row with a single long as its key takes some 88 bytes, any other some 128."""
 
 BATCH_ROWS = 512
 BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"

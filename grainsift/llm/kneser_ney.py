@@ -676,7 +676,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
 def drop_low_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns; nulls, empty
     and repeated texts as there. Rejected keys (id and text) are broadcast while
-    that takes less than 96 MB, else joined by key."""
+    that takes less than 192 MB, else joined by key."""
     gone = cut(judge(docs, labels, quantile).where("not keep").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct())
     gone = small(gone, gone.count(), WIDE_KEY)
     inner, at = renamed(docs)

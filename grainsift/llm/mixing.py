@@ -101,7 +101,7 @@ def mix_sources(
     ``perm_key``, the MD5 of doc_id, epoch and seed; its first three digits are its
     block. Block totals find the block in which the budget ends and only that block
     is sorted, so no task ever holds a source, however hot; the mixture itself is a
-    scan with a broadcast row per source (beyond 96 MB of sources: a join).
+    scan with a broadcast row per source (beyond 192 MB of sources: a join).
 
     A null source is a source of its own. A null text has no tokens; documents
     without tokens cost nothing and come along. Rows with equal ids (null ones
