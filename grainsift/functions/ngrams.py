@@ -88,18 +88,65 @@ def fnv1a64_hex(text: str) -> str:
     return f"{h:016x}"
 
 
+FNV, FNV_PRIME = np.uint32(0x811C9DC5), np.uint32(0x01000193)
+SHARED = 24
+"""First bytes whose hashes are made for all places at once."""
+FEW = 64
+"""So few ranges aren't continued a byte at a time any more, but each as a whole."""
+
+
+def _fnv_continued(h: np.uint32, data: np.ndarray) -> np.uint32:
+    """The FNV-1a state ``h`` after ``data``, without a step for each byte.
+
+    The low eight bits of the states depend on nothing above them, and each bit is a
+    running XOR once those below it are known. With them every XOR of a byte is the
+    addition of a known number, so the whole is a polynomial in the prime.
+    """
+    low = np.zeros(len(data), np.uint8)  # of the states after the XOR
+    for k in range(8):
+        bit = np.uint8(k)
+        turn = (data ^ low * np.uint8(0x93)) >> bit & np.uint8(1)
+        before = np.bitwise_xor.accumulate(turn) ^ turn ^ np.uint8(int(h) >> k & 1)
+        low |= (before ^ data >> bit & np.uint8(1)) << bit
+    added = low.astype(np.uint32) - (low ^ data)
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.full(len(data), FNV_PRIME))
+        return (added * powers[::-1]).sum(dtype=np.uint32) + h * powers[-1]
+
+
 def _fnv_ranges(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """FNV-1a of each range, all ranges a byte at a time."""
-    h = np.full(len(starts), 0x811C9DC5, np.uint64)
+    """32-bit FNV-1a of each range: those of up to SHARED bytes by place, longer ones
+    a byte at a time while there are many, the last few by ``_fnv_continued``."""
     size = ends - starts
-    order = np.argsort(-size, kind="stable")
-    starts, size = starts[order], size[order]
-    out = h.copy()
-    for k in range(int(size[0]) if len(size) else 0):
-        n = int(np.searchsorted(-size, -k, "left"))  # ranges longer than k
-        out[:n] = (out[:n] ^ raw[starts[:n] + k]) * np.uint64(0x01000193) & np.uint64(0xFFFFFFFF)
-    h[order] = out
-    return h
+    out = np.full(len(starts), FNV)
+    kind = np.minimum(size, SHARED + 1).astype(np.uint8)
+    order = np.argsort(kind, kind="stable")
+    bounds = np.searchsorted(kind[order], np.arange(SHARED + 2))
+    h = np.full(len(raw), FNV)
+    for k in range(min(SHARED, len(raw))):
+        h = (h[: len(raw) - k] ^ raw[k:]) * FNV_PRIME
+        own = order[bounds[k + 1] : bounds[k + 2]] if k + 1 < SHARED + 1 else order[:0]
+        out[own] = h[starts[own]]
+    own = order[bounds[SHARED + 1] :]
+    if not len(own):
+        return out
+    own = own[np.argsort(-size[own], kind="stable")]
+    state, at = h[starts[own]], starts[own].astype(np.int64) + SHARED
+    left = size[own] - SHARED
+    ascending = np.ascontiguousarray(left[::-1])
+    done = 0
+    while True:
+        n = len(left) - int(np.searchsorted(ascending, done, "right"))
+        if n <= FEW:
+            break
+        state[:n] = (state[:n] ^ raw[at[:n] + done]) * FNV_PRIME
+        done += 1
+    for i in range(n):
+        end = int(at[i] + left[i])
+        for a in range(int(at[i]) + done, end, 1 << 20):
+            state[i] = _fnv_continued(state[i], raw[a : min(a + (1 << 20), end)])
+    out[own] = state
+    return out
 
 
 def ngrams(data: bytes) -> list[bytes]:
@@ -130,17 +177,32 @@ def index_hash(data: bytes) -> int:
     return int(span_hashes(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0])
 
 
+PIECE = 1 << 18
+"""Bytes of texts whose tokens are found at once: arrays of some 3 tokens a byte."""
+
+
+def owners(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The text of each start."""
+    return np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))[starts]
+
+
+def fnv_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit hash and the text of each token, whatever its length."""
+    starts, ends = spans(raw, offsets)
+    return _fnv_ranges(raw, starts, ends), owners(starts, offsets)
+
+
 def _kernel(fnv: bool, repeats: bool, texts: bool):
     """Kernel over (id, text): a row per token, or per different hash of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for i, j in pieces(offsets, 1 << 20):
+            for i, j in pieces(offsets, PIECE):
                 own, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends = spans(own, at, None if fnv else MAX_BYTES)
-                owner = np.searchsorted(at, starts, "right") - 1
-                h = _fnv_ranges(own, starts, ends).view(np.int64) if fnv else span_hashes(own, starts, ends).view(np.int64)
+                owner = owners(starts, at)
+                h = _fnv_ranges(own, starts, ends).astype(np.int64) if fnv else span_hashes(own, starts, ends).view(np.int64)
                 if not repeats:
                     order = np.lexsort((h, owner))
                     h, owner = h[order], owner[order]
@@ -164,6 +226,32 @@ def ngram_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return source.mapInArrow(_kernel(True, True, True), "doc_id long, hash long, start long, ngram binary")
 
 
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, hash, times)`` with the 32-bit FNV-1a hash. Tokens are counted text by
+    text inside the kernel; counts are added up by a shuffle only if ids repeat."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            for i, j in pieces(offsets, PIECE):
+                h, owner = fnv_tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                keys = owner.astype(np.uint64) << np.uint64(32) | h
+                keys.sort()
+                first = np.ones(len(keys), bool)
+                first[1:] = keys[1:] != keys[:-1]
+                at = np.flatnonzero(first)
+                keys, times = keys[at], np.diff(np.r_[at, len(keys)])
+                ids = batch.column(0).slice(i, j - i).take(pa.array((keys >> np.uint64(32)).astype(np.int64)))
+                yield pa.record_batch([ids, pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(times)], ["doc_id", "hash", "times"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where(F.col("text").isNotNull())
+    counts = source.mapInArrow(run, "doc_id long, hash long, times long")
+    if source.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return counts
+    return counts.groupBy("doc_id", "hash").agg(F.sum("times").alias("times"))
+
+
 def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fnv: bool = False) -> DataFrame:
     """``(doc_id, hash)``, different ones only: found per text inside the kernel, so
     nothing has to be shuffled to remove repeats."""

@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 
 import numpy as np
@@ -5,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from grainsift.functions.ngrams import covering, fnv1a32, fnv1a64_hex, index_hash, ngram_rows, ngrams, pairs, spans
+from grainsift.functions.ngrams import FEW, SHARED, _fnv_ranges, covering, fnv1a32, fnv1a64_hex, index_hash, ngram_rows, ngrams, pairs, spans, token_counts
 
 
 def brute(b: bytes) -> list[bytes]:
@@ -69,3 +71,32 @@ def test_length_limit_keeps_shorter_tokens(b):
     raw = np.frombuffer(b, np.uint8)
     starts, ends = spans(raw, np.array([0, len(b)]), 20)
     assert sorted(zip(starts, ends, strict=True)) == sorted((a, e) for a, e in zip(*spans(raw, np.array([0, len(b)])), strict=True) if e - a <= 20)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.binary(min_size=1, max_size=400), st.data())
+def test_hashes_of_ranges_of_any_length(b, data):
+    ends = st.integers(0, len(b))
+    ranges = data.draw(st.lists(st.tuples(ends, ends).map(sorted), min_size=1, max_size=FEW * 2))
+    starts, stops = np.array(ranges).T
+    starts = np.minimum(starts, len(b) - 1)
+    got = _fnv_ranges(np.frombuffer(b, np.uint8), starts, np.maximum(stops, starts))
+    assert got.tolist() == [fnv1a32(b[x : max(x, y)]) for x, y in zip(starts, stops, strict=True)]
+
+
+def test_many_and_long_ranges_take_linear_time():
+    raw = np.frombuffer(random.Random(3).randbytes(3 << 20), np.uint8)
+    short = np.arange(len(raw) - SHARED)
+    starts, ends = np.r_[5, short], np.r_[len(raw), short + 3]
+    began = time.process_time()
+    h = _fnv_ranges(raw, starts, ends)
+    assert time.process_time() - began < 20  # a step over all ranges for each byte of the longest took hours
+    assert [int(x) for x in h[:2]] == [fnv1a32(raw[5:].tobytes()), fnv1a32(raw[:3].tobytes())]
+
+
+def test_token_counts_add_up_over_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "foo foo"), (1, "foo"), (2, ""), (None, "ab"), (None, "ab")], "doc_id long, text string")
+    found = {(r["doc_id"], r["hash"]): r["times"] for r in token_counts(docs).collect()}
+    assert found[1, fnv1a32(b"foo")] == 3
+    assert found[None, fnv1a32(b"ab")] == 2
+    assert {(r["doc_id"], r["hash"]): r["times"] for r in token_counts(docs.where("text = 'foo'")).collect()} == {(1, fnv1a32(g)): 1 for g in brute(b"foo")}
