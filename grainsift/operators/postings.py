@@ -53,10 +53,6 @@ def payload_sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return tokens.groupBy("doc_id").agg((F.count("*") * 2).alias("bytes"))
 
 
-def document_frequency(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("hash").agg(F.count_distinct("doc_id").alias("df"))
-
-
 def varint_size(value: Column) -> Column:
     """Bytes of a number in groups of seven bits."""
     size = F.lit(1)

@@ -38,6 +38,13 @@ def test_postings(table):
     assert {r["hash"]: r["doc_ids"] for r in packed.fnv_postings(docs).collect()} == lists
 
 
+def test_document_frequency(table):
+    docs, lists, _ = table
+    found = packed.fnv_document_frequency(docs).collect()
+    assert len(found) == len(lists)
+    assert {r["hash"]: r["df"] for r in found} == {h: len(ds) for h, ds in lists.items()}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([(1, None), (None, "abc")], "doc_id long, text string")
     assert packed.fnv_postings(docs, 10).count() == 0
