@@ -61,28 +61,6 @@ def varint_size(value: Column) -> Column:
     return size.cast("long")
 
 
-def posting_bytes(lists: DataFrame) -> DataFrame:
-    """``(hash, bytes)``: the size of a list as a count and gaps of varints; lists of
-    one document are kept in the lookup and take none."""
-    ids = F.col("doc_ids")
-    # the first number is whole, the rest are gaps
-    gaps = F.transform(ids, lambda d, i: F.when(i == 0, d).otherwise(d - F.get(ids, i - 1)))
-    total = F.aggregate(gaps, varint_size(F.size(ids).cast("long")), lambda acc, g: acc + varint_size(g))
-    return lists.select("hash", F.when(F.size(ids) == 1, F.lit(0).cast("long")).otherwise(total).alias("bytes"))
-
-
-def index_stats(pairs: DataFrame) -> DataFrame:
-    """One row: pairs, different pairs, lookup rows, inline singletons, payload."""
-    lists = postings(pairs)
-    sizes = lists.join(posting_bytes(lists), "hash").agg(
-        F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)).cast("long").alias("unique_pairs"),
-        F.count("*").alias("lookup_rows"),
-        F.count_if(F.size("doc_ids") == 1).alias("inline_singletons"),
-        F.coalesce(F.sum("bytes"), F.lit(0)).alias("payload_bytes"),
-    )
-    return pairs.agg(F.count("*").alias("pairs")).crossJoin(sizes)
-
-
 # --- candidates ------------------------------------------------------------
 
 

@@ -60,9 +60,22 @@ def test_posting_bytes(table):
     assert {r["hash"]: r["bytes"] for r in found} == {h: list_bytes(ds) for h, ds in lists.items()}
 
 
+def test_index_stats(table):
+    docs, lists, rows = table
+    (found,) = packed.fnv_index_stats(docs).collect()
+    assert found.asDict() == {
+        "pairs": sum(len(ngrams(t.encode())) for d, t in rows if d is not None and t is not None),
+        "unique_pairs": sum(map(len, lists.values())),
+        "lookup_rows": len(lists),
+        "inline_singletons": sum(len(ds) == 1 for ds in lists.values()),
+        "payload_bytes": sum(map(list_bytes, lists.values())),
+    }
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([(1, None), (None, "abc")], "doc_id long, text string")
     assert packed.fnv_postings(docs, 10).count() == 0
+    assert list(packed.fnv_index_stats(docs).first()) == [0] * 5
 
 
 def test_gaps_and_sums():
