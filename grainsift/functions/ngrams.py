@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from grainsift.functions.kernels import pieces, span_hashes, utf8
 from grainsift.functions.ship import ship
@@ -23,12 +24,15 @@ MAX_BYTES = 100
 """Tokens beyond this length aren't indexed; literals of a plan are no longer."""
 
 _weights: list[np.ndarray] = []
+BORDER, END = 1 << 16, 1 << 17
 
 
 def pair_weights(raw: np.ndarray) -> np.ndarray:
+    """Ranks of the pairs' CRC-32, all different: only their order counts."""
     if not _weights:
-        _weights.append(np.array([zlib.crc32(bytes((a, b))) for a in range(256) for b in range(256)], np.int64))
-    return _weights[0][raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        crc = np.array([zlib.crc32(bytes((a, b))) for a in range(256) for b in range(256)], np.int64)
+        _weights.append(np.unique(crc, return_inverse=True)[1].astype(np.int32))
+    return _weights[0][raw[:-1].astype(np.uint16) << np.uint16(8) | raw[1:]]
 
 
 def _next_at_least(w: np.ndarray) -> np.ndarray:
@@ -38,13 +42,14 @@ def _next_at_least(w: np.ndarray) -> np.ndarray:
     candidate may be replaced by its own candidate: pointers double like that.
     """
     n = len(w)
-    heavy = np.append(w, np.iinfo(np.int64).max)
-    nxt = np.append(np.arange(1, n + 1), n)
-    open_ = np.arange(n)
+    heavy = np.append(w, np.int32(END))
+    nxt = np.arange(1, n + 1)
+    open_ = np.flatnonzero(heavy[1:] < w)
     while len(open_):
-        open_ = open_[heavy[nxt[open_]] < w[open_]]
-        nxt[open_] = nxt[nxt[open_]]
-    return nxt[:n]
+        target = nxt[nxt[open_]]
+        nxt[open_] = target
+        open_ = open_[heavy[target] < w[open_]]
+    return nxt
 
 
 def spans(raw: np.ndarray, offsets: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -54,23 +59,26 @@ def spans(raw: np.ndarray, offsets: np.ndarray, limit: int | None = None) -> tup
     w = pair_weights(raw)
     border = offsets[1:-1] - 1  # pairs that reach into the next text
     border = border[(border >= 0) & (border < len(w))]
-    w[border] = np.iinfo(np.int64).max - 1
-    inside = np.ones(len(w), bool)
-    inside[border] = False
-    p = np.arange(len(w))
+    w[border] = BORDER
+    inside = w < BORDER
     after = _next_at_least(w)
     before = len(w) - 1 - _next_at_least(w[::-1])[::-1]
-    up, down = after - p >= 2, p - before >= 2
-    up &= after < len(w)
-    down &= before >= 0
-    twice = down & (w[np.maximum(before, 0)] == w)  # equal ends are met from both sides
-    down &= ~twice
-    first = np.concatenate([p, p[:-1], p[up], before[down]])
-    last = np.concatenate([p, p[1:], after[up], p[down]])
-    good = inside[first] & inside[last]
-    if limit is not None:
-        good &= last + 2 - first <= limit
-    return first[good], last[good] + 2
+    p = np.arange(len(w))
+    far = len(w) if limit is None else limit - 2  # from the first to the last pair
+
+    def reaching(a: np.ndarray, b: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero(good & (b - a >= 2) & (b - a <= far) & inside)
+        return a[own], b[own]
+
+    up_first, up_last = reaching(p, after, after < len(w))
+    keep = inside[up_last]
+    up_first, up_last = up_first[keep], up_last[keep]
+    down_first, down_last = reaching(before, p, before >= 0)
+    keep = inside[down_first] & (w[down_first] != w[down_last])  # equal ends are met from both sides
+    down_first, down_last = down_first[keep], down_last[keep]
+    two = np.flatnonzero(inside) if far >= 0 else p[:0]
+    three = np.flatnonzero(inside[:-1] & inside[1:]) if far >= 1 else p[:0]
+    return np.concatenate([two, three, up_first, down_first]), np.concatenate([two + 2, three + 3, up_last + 2, down_last + 2])
 
 
 def fnv1a32(data: bytes) -> int:
@@ -260,23 +268,64 @@ def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fnv:
     return source.mapInArrow(_kernel(fnv, False, False), "doc_id long, hash long")
 
 
-def partial_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 1 << 62, bases: list[int] | None = None) -> DataFrame:
+def index_tokens(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The index' hash and the text of each token; with ``wanted``, of those only."""
+    starts, ends = spans(raw, offsets, MAX_BYTES)
+    h = span_hashes(raw, starts, ends).view(np.int64)
+    if wanted is not None:
+        own = np.isin(h, wanted)
+        h, starts = h[own], starts[own]
+    return h, owners(starts, offsets)
+
+
+def forward_tokens(docs: DataFrame, keys: str | list[str] = "doc_id", text_col: str = "text", wanted: list[int] | None = None) -> DataFrame:
+    """``(keys, hashes)``: each row with the different hashes of its text, ascending,
+    without a shuffle; with ``wanted``, those among them. A null text has none."""
+    ship(docs.sparkSession)
+    keys = [keys] if isinstance(keys, str) else keys
+    some = None if wanted is None else np.array(sorted(wanted), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.num_columns - 1
+            raw, offsets = utf8(batch.column(at))
+            for i, j in pieces(offsets, PIECE):
+                h, owner = index_tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], some)
+                order = np.lexsort((h, owner))
+                h, owner = h[order], owner[order]
+                keep = np.ones(len(h), bool)
+                keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+                sizes = np.bincount(owner[keep], minlength=j - i)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(h[keep]))
+                yield pa.record_batch([*[c.slice(i, j - i) for c in batch.columns[:at]], lists], [*batch.schema.names[:at], "hashes"])
+
+    inner = docs.select(*keys, F.col(text_col).cast("binary")).toDF(*[f"c{i}" for i in range(len(keys) + 1)])
+    schema = StructType([*inner.schema.fields[:-1], StructField("hashes", ArrayType(LongType()))])
+    return inner.mapInArrow(run, schema).toDF(*keys, "hashes")
+
+
+def partial_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 1 << 62, bases: list[int] | None = None, wanted: list[int] | None = None) -> DataFrame:
     """``(hash, shard_id, doc_ids)``: posting lists of a batch of texts each, grouped
     in the kernel, so that fewer and shorter rows are shuffled than pairs. Shards
-    are of so many documents, or begin at ``bases``."""
+    are of so many documents, or begin at ``bases``. With ``wanted`` there are lists of
+    these hashes only."""
     ship(docs.sparkSession)
 
     starts_at = np.array(bases or [0], np.int64)
+    some = None if wanted is None else np.array(sorted(wanted), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
             for i, j in pieces(offsets):
-                own, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, ends = spans(own, at, MAX_BYTES)
-                h = span_hashes(own, starts, ends).view(np.int64)
-                doc = ids[i:j][np.searchsorted(at, starts, "right") - 1]
+                found = []
+                # tokens by smaller pieces than lists: a byte takes hundreds of bytes of arrays
+                for a, b in pieces(offsets[i : j + 1], PIECE):
+                    a, b = i + a, i + b
+                    h, owner = index_tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], some)
+                    found.append((h, ids[a:b][owner]))
+                h, doc = (np.concatenate(c) for c in zip(*found, strict=True))
                 shard = doc // docs_per_shard if bases is None else np.searchsorted(starts_at, doc, "right") - 1
                 order = np.lexsort((doc, h, shard))
                 h, doc, shard = h[order], doc[order], shard[order]
@@ -285,6 +334,8 @@ def partial_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 fresh = group.copy()
                 fresh[1:] |= doc[1:] != doc[:-1]
                 begin = np.flatnonzero(group[fresh])
+                if not len(begin):
+                    continue
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, fresh.sum()], pa.int32()), pa.array(doc[fresh]))
                 yield pa.record_batch([pa.array(h[group]), pa.array(shard[group]), lists], ["hash", "shard_id", "doc_ids"])
 

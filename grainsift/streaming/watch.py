@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from grainsift.functions.ngrams import pairs
+from grainsift.functions.ngrams import forward_tokens
 from grainsift.operators.numbering import dense_ids
 from grainsift.operators.postings import array_difference
 from grainsift.operators.verify import indexable
@@ -144,10 +144,7 @@ def renumber(docs: DataFrame, per_part: int = 100_000) -> DataFrame:
 def file_contents(spark: SparkSession, paths: DataFrame) -> DataFrame:
     """``(path, mtime, size, hashes)`` of the paths that exist and can be indexed."""
     files = read_paths(paths).where(F.col("error").isNull() & indexable(F.col("content")))
-    ids = files.withColumn("id", F.xxhash64("path"))
-    tokens = pairs(ids.select("id", "content"), "id", "content").groupBy(F.col("doc_id").alias("tid")).agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
-    joined = ids.join(tokens, F.col("id") == F.col("tid"), "left")
-    return joined.select("path", "mtime", "size", F.coalesce("hashes", F.array().cast("array<long>")).alias("hashes"))
+    return forward_tokens(files, ["path", "mtime", "size"], "content")
 
 
 class WatchStore:

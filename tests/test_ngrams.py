@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from grainsift.functions.ngrams import FEW, SHARED, _fnv_ranges, covering, fnv1a32, fnv1a64_hex, index_hash, ngram_rows, ngrams, pairs, spans, token_counts
+from grainsift.functions.ngrams import FEW, SHARED, _fnv_ranges, covering, fnv1a32, fnv1a64_hex, forward_tokens, index_hash, ngram_rows, ngrams, pairs, spans, token_counts
 
 
 def brute(b: bytes) -> list[bytes]:
@@ -100,3 +100,14 @@ def test_token_counts_add_up_over_repeated_ids(spark):
     assert found[1, fnv1a32(b"foo")] == 3
     assert found[None, fnv1a32(b"ab")] == 2
     assert {(r["doc_id"], r["hash"]): r["times"] for r in token_counts(docs.where("text = 'foo'")).collect()} == {(1, fnv1a32(g)): 1 for g in brute(b"foo")}
+
+
+def test_forward_tokens_are_rows_of_their_texts(spark):
+    docs = spark.createDataFrame([(1, "a", "foo foo"), (1, "b", "bar foo"), (2, "c", ""), (3, "d", None)], "doc_id long, path string, text string")
+    forward = forward_tokens(docs, ["doc_id", "path"])
+    plan = forward._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # a set of all hashes was gathered by a shuffle
+    want = {p: sorted({index_hash(g) for g in ngrams((t or "").encode())}) for _, p, t in docs.collect()}
+    assert {r["path"]: r["hashes"] for r in forward.collect()} == want
+    some = [index_hash(b"foo"), index_hash(b"ba"), 5]
+    assert {r["path"]: r["hashes"] for r in forward_tokens(docs, ["doc_id", "path"], wanted=some).collect()} == {p: sorted(set(hs) & set(some)) for p, hs in want.items()}
