@@ -27,13 +27,16 @@ def postings(pairs: DataFrame, docs_per_shard: int | None = None) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
 
 
-def text_postings(docs: DataFrame, docs_per_shard: int, text_col: str = "text", bases: list[int] | None = None) -> DataFrame:
+def text_postings(docs: DataFrame, docs_per_shard: int, text_col: str = "text", bases: list[int] | None = None, wanted: list[int] | None = None) -> DataFrame:
     """``(hash, shard_id, doc_ids)`` of texts: lists are grouped batch by batch before
     the one shuffle and joined after it. Rows come sorted by hash within ranges of
     hashes (their high bits, which are uniform, so no sampling is needed); there are
-    the more ranges the more documents, so a range's size doesn't grow."""
+    the more ranges the more documents, so a range's size doesn't grow.
+
+    ``wanted`` are the hashes that will be looked up, if lists are made for one search:
+    Spark pushes that filter below the shuffle, but can't push it into the kernel."""
     bits = max(8, (docs.count() // DOCS_PER_RANGE).bit_length())
-    parts = partial_postings(docs, "doc_id", text_col, docs_per_shard, bases).withColumn("range", F.shiftright("hash", 64 - bits))
+    parts = partial_postings(docs, "doc_id", text_col, docs_per_shard, bases, wanted).withColumn("range", F.shiftright("hash", 64 - bits))
     joined = F.flatten(F.collect_list("doc_ids"))
     lists = parts.repartition("range").groupBy("range", "hash", "shard_id").agg(joined.alias("ids"))
     # one text's repeats are gone; rows of one id may still repeat
@@ -82,7 +85,7 @@ def candidates(lists: DataFrame, plan: Plan, docs: DataFrame) -> DataFrame:
         return docs.select("doc_id")
     if plan.kind == "never":
         return docs.select("doc_id").limit(0)
-    wanted = sorted({h for b in plan.branches for h in b})
+    wanted = plan.hashes
     # equalities prune row groups one by one; a long In is pushed as its least and greatest
     few = len(wanted) <= MAX_ARRAYS
     found = lists.where(" OR ".join(f"hash = {h}" for h in wanted) if few else f"hash IN ({', '.join(map(str, wanted))})")

@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from grainsift.functions.ngrams import FEW, SHARED, _fnv_ranges, covering, fnv1a32, fnv1a64_hex, forward_tokens, index_hash, ngram_rows, ngrams, pairs, spans, token_counts
+from grainsift.functions.ngrams import FEW, PIECE, SHARED, _fnv_ranges, covering, fnv1a32, fnv1a64_hex, forward_tokens, index_hash, index_tokens, ngram_rows, ngrams, pairs, partial_postings, spans, token_counts
 
 
 def brute(b: bytes) -> list[bytes]:
@@ -94,6 +95,15 @@ def test_many_and_long_ranges_take_linear_time():
     assert [int(x) for x in h[:2]] == [fnv1a32(raw[5:].tobytes()), fnv1a32(raw[:3].tobytes())]
 
 
+def test_tokens_of_a_megabyte_take_little_memory():
+    raw = np.frombuffer(random.Random(4).randbytes(PIECE), np.uint8)
+    tracemalloc.start()
+    index_tokens(raw, np.array([0, len(raw)]), np.array([5]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # pieces of a megabyte took over 400 MB in each worker
+
+
 def test_token_counts_add_up_over_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "foo foo"), (1, "foo"), (2, ""), (None, "ab"), (None, "ab")], "doc_id long, text string")
     found = {(r["doc_id"], r["hash"]): r["times"] for r in token_counts(docs).collect()}
@@ -111,3 +121,16 @@ def test_forward_tokens_are_rows_of_their_texts(spark):
     assert {r["path"]: r["hashes"] for r in forward.collect()} == want
     some = [index_hash(b"foo"), index_hash(b"ba"), 5]
     assert {r["path"]: r["hashes"] for r in forward_tokens(docs, ["doc_id", "path"], wanted=some).collect()} == {p: sorted(set(hs) & set(some)) for p, hs in want.items()}
+
+
+def test_lists_of_wanted_hashes(spark):
+    docs = spark.createDataFrame([(k, f"foo {k} bar") for k in range(30)] + [(40, "")], "doc_id long, text string")
+    wanted = [index_hash(b"foo"), index_hash(b"7 b"), 12345]
+
+    def lists(**more):
+        found = partial_postings(docs, docs_per_shard=10, **more).collect()
+        return sorted((r["hash"], r["shard_id"], d) for r in found for d in r["doc_ids"])
+
+    assert lists(wanted=wanted) == [x for x in lists() if x[0] in wanted]
+    assert len(lists(wanted=wanted)) == 33
+    assert lists(wanted=[]) == []
