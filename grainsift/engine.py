@@ -38,6 +38,8 @@ class Result:
 KNOWN_IDS = 4096
 """Candidates up to which their ids are looked up first and pushed into the scan."""
 KNOWN_RANGES = 64
+BROADCAST_IDS = 2 << 20
+"""Candidates up to which their ids are broadcast, at some 88 bytes each."""
 
 
 def id_ranges(ids: list[int], most: int = KNOWN_RANGES) -> list[tuple[int, int]]:
@@ -51,10 +53,12 @@ def id_ranges(ids: list[int], most: int = KNOWN_RANGES) -> list[tuple[int, int]]
 def only(docs: DataFrame, found: DataFrame, key: str = "doc_id", known: int = KNOWN_IDS) -> DataFrame:
     """The rows of ``docs`` whose key is in ``found(doc_id)``. A few ids are fetched
     and become ranges that the scan prunes files and row groups by (texts that an
-    index stores lie in order of id); more of them stay a join."""
+    index stores lie in order of id); more of them stay a join, with the ids broadcast
+    while they are small enough, so that texts aren't shuffled."""
     ids = [r[0] for r in found.limit(known + 1).collect()]
     if len(ids) > known:
-        return docs.join(found.withColumnRenamed("doc_id", key), key, "left_semi")
+        more = found.withColumnRenamed("doc_id", key)
+        return docs.join(F.broadcast(more) if found.count() <= BROADCAST_IDS else more, key, "left_semi")
     if not ids:
         return docs.limit(0)
     # as SQL text: literals one by one cost more than the lookup
@@ -69,7 +73,8 @@ def indexed_search(docs: DataFrame, lists: DataFrame, pattern: str | Regex, text
     regex = compile_regex(pattern) if isinstance(pattern, str) else pattern
     if regex.plan.kind != "union":
         return regex_hits(docs, regex, "doc_id", text_col)
-    return regex_hits(only(docs, candidates(lists, regex.plan, docs), known=known), regex, "doc_id", text_col)
+    # the ids are used twice or more, and lists may be made for this search only
+    return regex_hits(only(docs, cut(candidates(lists, regex.plan, docs)), known=known), regex, "doc_id", text_col)
 
 
 class Engine:

@@ -4,8 +4,8 @@ import os
 import pytest
 
 from grainsift.cli import main, poll
-from grainsift.engine import Engine, LiveSearch, append_errors
-from grainsift.operators.postings import array_difference, manifest_errors, varint_size
+from grainsift.engine import Engine, LiveSearch, append_errors, indexed_search
+from grainsift.operators.postings import array_difference, manifest_errors, text_postings, varint_size
 from grainsift.operators.verify import highlight_spans, sanitize
 from grainsift.sources.files import crawl
 from grainsift.sources.index import check_manifest, index_path
@@ -171,3 +171,13 @@ def test_indexed_search_matches_candidates_only(spark, tmp_path):
     many = indexed_search(index.docs, index.postings, "needle_1|zzz", known=0)
     logical = many._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in logical.split("Join LeftSemi")[0] and "RLIKE" not in logical.split("Join LeftSemi")[1]
+
+
+@pytest.mark.parametrize("known", [1, 4096])
+def test_lists_of_one_search_are_made_once(spark, known):
+    docs = spark.createDataFrame([(k, f"a\nfoo {k}" if k % 2 else "bar") for k in range(30)], "doc_id long, text string")
+    hits = indexed_search(docs, text_postings(docs, 10), "foo", known=known)
+    assert "MapInArrow" not in hits._jdf.queryExecution().optimizedPlan().toString()  # the texts' tokens were found again for the join
+    if known == 1:
+        assert "strategy=broadcast" in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, hits.collect())) == [(k, 2, f"foo {k}") for k in range(1, 30, 2)]
