@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from grainsift.functions.kernels import pieces, utf8
 from grainsift.functions.ship import ship
 from grainsift.plans.regex import GUARDED, NATIVE, Regex, compile_regex, python_form
 
@@ -38,6 +39,9 @@ def indexable(content: Column) -> Column:
     return content.isNotNull() & ~is_binary(content) & (F.octet_length(content) <= MAX_BYTES - 1)
 
 
+PIECE = 1 << 20
+"""Bytes of texts that are marked at once."""
+
 GUARD_SECONDS = 60
 """A text on which a guarded pattern takes longer fails the job, with its reason."""
 
@@ -69,11 +73,15 @@ def _marker(linear: str, guarded: str | None):
         return pa.array(plain, texts.type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.num_columns - 1
-            if python is None:
-                batch = batch.filter(pc.match_substring_regex(batch.column(at), linear).fill_null(False))
-            yield pa.record_batch([*batch.columns, mark(batch.column(at))], [*batch.schema.names, "marked"])
+        for whole in batches:
+            at = whole.num_columns - 1
+            # by pieces: what is read, kept and marked would all be held for a whole batch
+            for i, j in pieces(utf8(whole.column(at))[1], PIECE):
+                batch = whole.slice(i, j - i)
+                if python is None:
+                    batch = batch.filter(pc.match_substring_regex(batch.column(at), linear).fill_null(False))
+                if batch.num_rows:
+                    yield pa.record_batch([*batch.columns, mark(batch.column(at))], [*batch.schema.names, "marked"])
 
     return run
 

@@ -1,12 +1,13 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from grainsift.operators.postings import candidates, forward_predicate, postings
 from grainsift.functions.ngrams import pairs
-from grainsift.operators.verify import regex_hits
+from grainsift.operators.verify import MARK, PIECE, _marker, regex_hits
 import grainsift.plans.regex as regex_plans
 from grainsift.plans.regex import RegexError, compile_regex
 
@@ -135,3 +136,13 @@ def test_no_empty_match_behind_a_match(spark):
     docs = spark.createDataFrame([(1, "ba\nc")], "doc_id long, text string")
     # a* matches nothing before b, then a, then nothing at the line end is not taken again
     assert [r["line_no"] for r in regex_hits(docs, r"a\n|(?:)c|a*$").collect()] == [1, 2]
+
+
+def test_texts_are_marked_by_pieces():
+    texts = [f"{k} " + "ab, " * 25_000 + "ending" for k in range(40)] + [None, "", "no", "ab " * PIECE + "king"]
+    batch = pa.record_batch([pa.array(range(44)), pa.array(texts)], ["c0", "text"])
+    parts = list(_marker(compile_regex("(?:[a-z]+ |[a-z]+, )+[a-z]+ing").linear, None)(iter([batch])))
+    assert max(p.nbytes for p in parts[:-1]) < 3 * PIECE  # the whole batch was marked at once
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["c0"] for r in rows] == [*range(40), 43]
+    assert all(r["marked"] == r["text"].replace("ab", MARK + "ab", 1) for r in rows)
