@@ -5,8 +5,9 @@ import pytest
 
 from grainsift.cli import main, poll
 from grainsift.engine import Engine, LiveSearch, append_errors, indexed_search
-from grainsift.operators.postings import array_difference, manifest_errors, text_postings, varint_size
+from grainsift.operators.postings import array_difference, candidates, manifest_errors, text_postings, varint_size
 from grainsift.operators.verify import highlight_spans, sanitize
+from grainsift.plans.regex import compile_regex
 from grainsift.sources.files import crawl
 from grainsift.sources.index import check_manifest, index_path
 
@@ -181,3 +182,12 @@ def test_lists_of_one_search_are_made_once(spark, known):
     if known == 1:
         assert "strategy=broadcast" in hits._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, hits.collect())) == [(k, 2, f"foo {k}") for k in range(1, 30, 2)]
+
+
+@pytest.mark.parametrize("pattern", ["foo", "foo bar|ba[rz]9"])
+def test_candidates_of_lists_made_for_one_search(spark, pattern):
+    plan = compile_regex(pattern).plan
+    docs = spark.createDataFrame([(k, f"foo bar{k}" if k % 3 else "ba") for k in range(40)], "doc_id long, text string")
+    want = sorted(r["doc_id"] for r in candidates(text_postings(docs, 10), plan, docs).collect())
+    assert want
+    assert sorted(r["doc_id"] for r in candidates(text_postings(docs, 10, wanted=plan.hashes), plan, docs).collect()) == want
