@@ -33,13 +33,36 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, in constant time a range: differences of
-    prefix sums of a polynomial, shifted to a common origin."""
+def unmix(h: np.ndarray) -> np.ndarray:
+    """What ``mix`` made ``h`` of."""
+    with np.errstate(over="ignore"):
+        h = h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))
+        h = h * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+        h = h ^ (h >> np.uint64(27)) ^ (h >> np.uint64(54))
+        h = h * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+        return h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+
+
+def plain_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial of each byte range, in constant time a range: differences of
+    prefix sums, shifted to a common origin."""
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power("inv", BASE_INVERSE, len(raw)), out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * power("pow", BASE, len(raw) + 1)[starts])
+        return (sums[ends] - sums[starts]) * power("pow", BASE, len(raw) + 1)[starts]
+
+
+def short_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``plain_hashes`` of all ranges of two bytes and of three, by place."""
+    with np.errstate(over="ignore"):
+        value = raw.astype(np.uint64) + np.uint64(1)
+        two = value[:-1] + value[1:] * BASE_INVERSE
+        return two, two[:-1] + value[2:] * (BASE_INVERSE * BASE_INVERSE)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range."""
+    return mix(plain_hashes(raw, starts, ends))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from grainsift.functions.kernels import pieces, span_hashes, utf8
+from grainsift.functions.kernels import mix, pieces, plain_hashes, short_hashes, span_hashes, unmix, utf8
 from grainsift.functions.ship import ship
 
 MAX_BYTES = 100
@@ -35,50 +35,68 @@ def pair_weights(raw: np.ndarray) -> np.ndarray:
     return _weights[0][raw[:-1].astype(np.uint16) << np.uint16(8) | raw[1:]]
 
 
-def _next_at_least(w: np.ndarray) -> np.ndarray:
-    """The nearest index to the right that weighs as much or more; len(w) if none.
+NEIGHBOURS = 8
+"""So many neighbours are compared place by place before pointers are followed."""
+
+
+def _reaching(w: np.ndarray, far: int, equal: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that outweigh the next one, ascending, and for each the nearest to the
+    right that weighs as much or more, if it lies in the same text and at most ``far``
+    away; with ``equal`` also if both weigh the same.
 
     Everything between i and its candidate weighs less than i, so a lighter
     candidate may be replaced by its own candidate: pointers double like that.
     """
     n = len(w)
-    heavy = np.append(w, np.int32(END))
-    nxt = np.arange(1, n + 1)
-    open_ = np.flatnonzero(heavy[1:] < w)
+    heavy = np.append(w, np.full(NEIGHBOURS, END, np.int32))
+    lighter = heavy[1 : n + 1] < w
+    first = np.flatnonzero(lighter)
+    passed = np.ones(n, np.uint8)
+    for k in range(2, NEIGHBOURS + 1):
+        passed += lighter.view(np.uint8)
+        lighter &= heavy[k : n + k] < w
+    nxt = np.arange(n) + passed
+    open_ = np.flatnonzero(lighter)
+    own, at = w[open_], nxt[open_]
     while len(open_):
-        target = nxt[nxt[open_]]
+        target = nxt[at]
         nxt[open_] = target
-        open_ = open_[heavy[target] < w[open_]]
-    return nxt
+        keep = np.flatnonzero((heavy[target] < own) & (target - open_ <= far))
+        open_, own, at = open_[keep], own[keep], target[keep]
+    last = nxt[first]
+    weight = heavy[last]
+    good = (weight < BORDER) & (last - first <= far)
+    keep = np.flatnonzero(good if equal else good & (weight != w[first]))
+    return first[keep], last[keep]
+
+
+def _marked(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Weights of all pairs of a batch; those that reach into the next text are BORDER."""
+    w = pair_weights(raw)
+    border = offsets[1:-1] - 1
+    w[border[(border >= 0) & (border < len(w))]] = BORDER
+    return w
+
+
+def _wide(w: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last pairs of the tokens of more than three bytes, once per place."""
+    up, up_last = _reaching(w, far, True)
+    # equal ends are met from both sides
+    down, down_first = (len(w) - 1 - x[::-1] for x in _reaching(np.ascontiguousarray(w[::-1]), far, False))
+    return np.concatenate([up, down_first]), np.concatenate([up_last, down])
 
 
 def spans(raw: np.ndarray, offsets: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the tokens of each text in a batch, once per place."""
     if len(raw) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = pair_weights(raw)
-    border = offsets[1:-1] - 1  # pairs that reach into the next text
-    border = border[(border >= 0) & (border < len(w))]
-    w[border] = BORDER
-    inside = w < BORDER
-    after = _next_at_least(w)
-    before = len(w) - 1 - _next_at_least(w[::-1])[::-1]
-    p = np.arange(len(w))
+    w = _marked(raw, offsets)
     far = len(w) if limit is None else limit - 2  # from the first to the last pair
-
-    def reaching(a: np.ndarray, b: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = np.flatnonzero(good & (b - a >= 2) & (b - a <= far) & inside)
-        return a[own], b[own]
-
-    up_first, up_last = reaching(p, after, after < len(w))
-    keep = inside[up_last]
-    up_first, up_last = up_first[keep], up_last[keep]
-    down_first, down_last = reaching(before, p, before >= 0)
-    keep = inside[down_first] & (w[down_first] != w[down_last])  # equal ends are met from both sides
-    down_first, down_last = down_first[keep], down_last[keep]
-    two = np.flatnonzero(inside) if far >= 0 else p[:0]
-    three = np.flatnonzero(inside[:-1] & inside[1:]) if far >= 1 else p[:0]
-    return np.concatenate([two, three, up_first, down_first]), np.concatenate([two + 2, three + 3, up_last + 2, down_last + 2])
+    inside = w < BORDER
+    first, last = _wide(w, far)
+    two = np.flatnonzero(inside) if far >= 0 else first[:0]
+    three = np.flatnonzero(inside[:-1] & inside[1:]) if far >= 1 else first[:0]
+    return np.concatenate([two, three, first]), np.concatenate([two + 2, three + 3, last + 2])
 
 
 def fnv1a32(data: bytes) -> int:
@@ -268,14 +286,34 @@ def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fnv:
     return source.mapInArrow(_kernel(fnv, False, False), "doc_id long, hash long")
 
 
+STEP = 1 << 16
+"""Bytes of texts of which the index' tokens are found at once: arrays that caches hold."""
+
+
 def index_tokens(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """The index' hash and the text of each token; with ``wanted``, of those only."""
-    starts, ends = spans(raw, offsets, MAX_BYTES)
-    h = span_hashes(raw, starts, ends).view(np.int64)
-    if wanted is not None:
-        own = np.isin(h, wanted)
-        h, starts = h[own], starts[own]
-    return h, owners(starts, offsets)
+    plain = None if wanted is None else unmix(wanted.view(np.uint64))
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in pieces(offsets, STEP):
+        own = raw[offsets[i] : offsets[j]]
+        if len(own) < 2:
+            continue
+        w = _marked(own, offsets[i : j + 1] - offsets[i])
+        inside = w < BORDER
+        first, last = _wide(w, MAX_BYTES - 2)
+        two, three = short_hashes(own)
+        for h, good, starts in ((two, inside, None), (three, inside[:-1] & inside[1:], None), (plain_hashes(own, first, last + 2), None, first)):
+            if plain is not None:  # mixing is one to one, so what is wanted is known before it
+                asked = np.isin(h, plain, kind="sort")
+                good = asked if good is None else asked & good
+            if good is not None:
+                at = np.flatnonzero(good)
+                h, starts = h[at], at if starts is None else starts[at]
+            hashes.append(h)
+            places.append(starts + offsets[i])
+    found = np.concatenate(places)
+    text = owners(found, offsets) if wanted is None else (np.searchsorted(offsets, found, "right") - 1).astype(np.int32)
+    return mix(np.concatenate(hashes)).view(np.int64), text
 
 
 def forward_tokens(docs: DataFrame, keys: str | list[str] = "doc_id", text_col: str = "text", wanted: list[int] | None = None) -> DataFrame:

@@ -8,7 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from grainsift.functions.ngrams import FEW, PIECE, SHARED, _fnv_ranges, covering, fnv1a32, fnv1a64_hex, forward_tokens, index_hash, index_tokens, ngram_rows, ngrams, pairs, partial_postings, spans, token_counts
+from grainsift.functions.kernels import plain_hashes, short_hashes, span_hashes, unmix
+from grainsift.functions.ngrams import FEW, PIECE, SHARED, STEP, _fnv_ranges, covering, fnv1a32, fnv1a64_hex, forward_tokens, index_hash, index_tokens, ngram_rows, ngrams, pairs, partial_postings, spans, token_counts
 
 
 def brute(b: bytes) -> list[bytes]:
@@ -104,6 +105,36 @@ def test_tokens_of_a_megabyte_take_little_memory():
     assert peak < 150 << 20  # pieces of a megabyte took over 400 MB in each worker
 
 
+@settings(deadline=None)
+@given(st.lists(text, min_size=1, max_size=12), st.data())
+def test_index_tokens_are_those_of_the_definition(texts, data):
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    want = sorted((index_hash(g), k) for k, t in enumerate(texts) for g in brute(t))
+    some = data.draw(st.sets(st.sampled_from([h for h, _ in want] or [0]))) | {5}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("grainsift.functions.ngrams.STEP", data.draw(st.sampled_from([1, 50, STEP])))
+        assert sorted(zip(*(c.tolist() for c in index_tokens(raw, offsets, None)), strict=True)) == want
+        found = index_tokens(raw, offsets, np.array(sorted(some), np.int64))
+    assert sorted(zip(*(c.tolist() for c in found), strict=True)) == [x for x in want if x[0] in some]
+
+
+def test_tokens_of_many_texts_stay_in_the_cache():
+    raw, offsets = np.frombuffer(random.Random(5).randbytes(PIECE), np.uint8), np.arange(0, PIECE + 1, 1 << 12)
+    tracemalloc.start()
+    index_tokens(raw, offsets, np.array([5]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * PIECE  # arrays of a whole piece: 133 bytes a byte of text, and twice the time
+
+
+def test_hashes_before_mixing():
+    raw = np.frombuffer(random.Random(6).randbytes(500), np.uint8)
+    for n, h in zip((2, 3), short_hashes(raw), strict=True):
+        starts = np.arange(len(raw) + 1 - n)
+        assert np.array_equal(h, plain_hashes(raw, starts, starts + n))
+        assert np.array_equal(unmix(span_hashes(raw, starts, starts + n)), h)
+
+
 def test_token_counts_add_up_over_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "foo foo"), (1, "foo"), (2, ""), (None, "ab"), (None, "ab")], "doc_id long, text string")
     found = {(r["doc_id"], r["hash"]): r["times"] for r in token_counts(docs).collect()}
